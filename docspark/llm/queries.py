@@ -21,6 +21,30 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, matches
+
+    return digest(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import applied, ledger
+
+    return applied(ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicated_lines
+
+    return deduplicated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_tokens, write_tokens
 
@@ -33,4 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, quality
+
+    return {"op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL}
