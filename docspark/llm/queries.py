@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import fresh_dir, table
+from .common import fold, fresh_dir, table
 
 
 def _tokenizer() -> str:
@@ -15,6 +16,18 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _held_out(of: int, remainder: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), of) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = learn(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return identified(docs.select("doc_id", "text"), filters).select("doc_id", _held_out(4, 2), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_coverage").alias("coverage"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -45,6 +58,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    return scored(docs, index).select("doc_id", _held_out(4, 2), "score", "predicted", "neighbours")
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_tokens, write_tokens
 
