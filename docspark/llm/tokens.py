@@ -11,6 +11,8 @@ own for the whole text, which the tests compare.
 from __future__ import annotations
 
 import re
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
@@ -33,7 +35,7 @@ class WordEncoder:
     without the end id. At most ``memo`` words of at most ``longest`` characters
     are kept, so memory is bounded."""
 
-    def __init__(self, path: str, memo: int = 600_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 1_000_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -107,7 +109,8 @@ class WordEncoder:
                 first, *words = line.split(" ")
                 ids = list(map(get, words))
                 if None in ids:
-                    unknown.update(w for w, x in zip(words, ids, strict=True) if x is None)
+                    unknown.update(compress(words, map(not_, ids)))
+                    ids = None
                 if head(first) is None:
                     unknown_heads.add(first)
                 lines.append((first, words, ids))
@@ -116,10 +119,9 @@ class WordEncoder:
             out[k] = x
         leave = self._fill(self.inner, unknown, " ")
         heads_leave = self._fill(self.heads, unknown_heads, "")
+        get = self.inner.__getitem__
         for i, lines in rows:
-            parts = []
-            for first, words, ids in lines:
-                parts.append(self.heads[first] + b"".join([self.inner[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids))
+            parts = [self.heads[first] + b"".join(map(get, words) if ids is None else ids) for first, words, ids in lines]
             out[i] = self.feed.join(parts)
         for w in leave:
             del self.inner[w]
