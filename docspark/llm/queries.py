@@ -28,6 +28,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(docs.select("doc_id", "text"), filters).select("doc_id", _held_out(4, 2), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_coverage").alias("coverage"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 5) != 1).alias("train"))
+    return scored(docs).select("doc_id", _held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -58,6 +65,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(spark, write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learn, scored
 

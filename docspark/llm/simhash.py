@@ -6,8 +6,8 @@ bits whose vector has an odd product with v. Up to radius differing positions
 span less than the whole space, so some v is orthogonal to all of them: in its
 table the two fingerprints have one key. No pair within the radius is missed.
 
-A bucket is compared in one place only if it is small. The fingerprints of a
-larger one are keyed again by the bits still free, under the same guarantee,
+A bucket is compared in one place only if its size is bounded (``bucket``), and
+there by the tables of its free bits again. The fingerprints of a larger one are keyed again by the bits still free, under the same guarantee,
 until buckets are small; a bucket has no more distinct fingerprints than its
 free bits can spell, so this ends without a cap. Equal fingerprints are one
 node from the start, so copies make no pairs.
@@ -77,7 +77,33 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _stars(radius: int):
+def _join(x: np.ndarray, at: np.ndarray, label: np.ndarray, radius: int, free: int, small: int) -> None:
+    """Gives the fingerprints x[at] one label per connected part; all agree outside
+    the free bits. Many are split by the tables of the free bits first; what is one
+    part already isn't compared again."""
+    if len(at) <= small or free.bit_count() <= 10:  # then at most 1024 in all
+        own = x[at]
+        near = np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= radius
+        while True:
+            mine = label[at]
+            least = np.where(near, mine[None, :], len(x)).min(axis=1)
+            if (least == mine).all():
+                return
+            # a label that gives way does so everywhere
+            gives = np.arange(len(x))
+            np.minimum.at(gives, mine, least)
+            label[:] = gives[label]
+    for m in masks(radius, free):
+        key = x[at] & np.int64(signed(m))
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for run in np.split(order, cuts):
+            part = at[run]
+            if len(part) > 1 and (label[part] != label[part[0]]).any():
+                _join(x, part, label, radius, free & ~m, small)
+
+
+def _stars(radius: int, small: int = 256):
     """Buckets of distinct fingerprints to (a, b): each bucket's connected parts as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +111,13 @@ def _stars(radius: int):
             a, b = [], []
             for bucket in batch.column(0).to_pylist():
                 x = np.unique(np.asarray(bucket, np.int64))
+                if len(x) == 2:
+                    if ((int(x[0]) ^ int(x[1])) & ONES).bit_count() <= radius:
+                        a.append(int(x[1]))
+                        b.append(int(x[0]))
+                    continue
                 label = np.arange(len(x))
-                near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= radius
-                while True:
-                    least = np.where(near, label[None, :], len(x)).min(axis=1)
-                    least = least[least]
-                    if (least == label).all():
-                        break
-                    label = least
+                _join(x, np.arange(len(x)), label, radius, ONES, small)
                 far = np.flatnonzero(label != np.arange(len(x)))
                 a += x[far].tolist()
                 b += x[label[far]].tolist()
@@ -101,7 +126,7 @@ def _stars(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int, bucket: int = 512) -> DataFrame:
+def links(nodes: DataFrame, radius: int, bucket: int = 16_384) -> DataFrame:
     """Distinct fp to edges (a, b) that connect just what pairs within the radius
     connect. bucket: fingerprints that are compared in one place."""
     paths: list[tuple[int, int]] = [(0, 0)]  # of each path of tables: bits kept so far, parent
