@@ -145,15 +145,27 @@ class PlaneReader:
         return np.frombuffer(raw, "<u4")[start - first * block : stop - first * block]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, group: int = 256) -> Iterator[tuple]:
-    """(doc_id, ids with the end id as bytes) of batches with columns doc_id and text."""
+def encoded(batches: Iterable[pa.RecordBatch], path: str, group: int = 6_000_000) -> Iterator[tuple]:
+    """(doc_id, ids with the end id as bytes) of batches with columns doc_id and text,
+    encoded in groups of about ``group`` characters."""
     enc = encoder(path)
+    ids: list = []
+    held: list[str] = []
+    size = 0
+
+    def flush() -> Iterator[tuple]:
+        for doc_id, raw in zip(ids, enc.encode(held), strict=True):
+            yield doc_id, raw + END_BYTES
+
     for batch in batches:
-        ids, col = batch.column(0).to_pylist(), batch.column(1)
-        for i in range(0, len(ids), group):
-            part = [x or "" for x in col.slice(i, group).to_pylist()]
-            for doc_id, raw in zip(ids[i : i + group], enc.encode(part), strict=True):
-                yield doc_id, raw + END_BYTES
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(doc_id)
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= group:
+                yield from flush()
+                ids, held, size = [], [], 0
+    yield from flush()
 
 
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, planes: str = "byte", block: int = 65_536, level: int = 1) -> DataFrame:

@@ -11,10 +11,10 @@ own for the whole text, which the tests compare.
 from __future__ import annotations
 
 import re
-from itertools import compress
-from operator import not_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space in the widest sense of any regex dialect, besides space and line feed.
 _OTHER = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -35,7 +35,7 @@ class WordEncoder:
     without the end id. At most ``memo`` words of at most ``longest`` characters
     are kept, so memory is bounded."""
 
-    def __init__(self, path: str, memo: int = 1_000_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,40 +93,55 @@ class WordEncoder:
         return [w for k, w in enumerate(new) if k >= room or len(w) > self.longest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Splitting, and finding the distinct words of all the
+        texts, is Arrow's work; only distinct words reach the memo, and their ids are
+        laid out for all places at once."""
         out: list[bytes] = [b""] * len(texts)
-        rows, odd = [], []
-        unknown: set[str] = set()
-        unknown_heads: set[str] = set()
-        get, head = self.inner.get, self.heads.get
+        cut, odd = [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.lines or not plain(t):
-                odd.append(i)
-                continue
-            lines = []
-            for line in t.split("\n"):
-                first, *words = line.split(" ")
-                ids = list(map(get, words))
-                if None in ids:
-                    unknown.update(compress(words, map(not_, ids)))
-                    ids = None
-                if head(first) is None:
-                    unknown_heads.add(first)
-                lines.append((first, words, ids))
-            rows.append((i, lines))
+            if t:
+                (cut if self.lines and plain(t) else odd).append(i)
         for k, x in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
             out[k] = x
-        leave = self._fill(self.inner, unknown, " ")
-        heads_leave = self._fill(self.heads, unknown_heads, "")
-        get = self.inner.__getitem__
-        for i, lines in rows:
-            parts = [self.heads[first] + b"".join(map(get, words) if ids is None else ids) for first, words, ids in lines]
-            out[i] = self.feed.join(parts)
+        if not cut:
+            return out
+        spaced = pc.replace_substring(pa.array([texts[i] for i in cut], pa.large_string()), "\n", " \n ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.values.dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        bounds = split.offsets.to_numpy()
+        n = len(words)
+        # the first word of a text or line has no space before it
+        feed = code == (words.index("\n") if "\n" in words else -1)
+        head = np.zeros(len(code), bool)
+        head[bounds[:-1]] = True
+        head[1:] |= feed[:-1]
+        firsts = np.unique(code[head])
+        inner = np.flatnonzero(np.bincount(code[~head & ~feed], minlength=n))
+        ids = [b""] * n
+        leave = self._fill(self.inner, {words[k] for k in inner.tolist() if words[k] not in self.inner}, " ")
+        for k in inner.tolist():
+            ids[k] = self.inner[words[k]]
+        if feed.any():
+            ids[int(code[feed][0])] = self.feed
+        leave_heads = self._fill(self.heads, {words[k] for k in firsts.tolist() if words[k] not in self.heads}, "")
+        ids += [self.heads[words[k]] for k in firsts.tolist()]
         for w in leave:
             del self.inner[w]
-        for w in heads_leave:
+        for w in leave_heads:
             del self.heads[w]
+        code[head] = n + np.searchsorted(firsts, code[head])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        at = np.repeat(start[code] - ends + each, each)
+        at += np.arange(len(at))
+        raw = flat[at].tobytes()
+        ends = np.concatenate([[0], ends])[bounds] * 4
+        for k, i in enumerate(cut):
+            out[i] = raw[ends[k] : ends[k + 1]]
         return out
 
 
