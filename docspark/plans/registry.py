@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name to function) and ORACLE (name to SQL).
-FAMILIES: list[str] = []
+FAMILIES = ["text_queries", "number_queries"]
 
 
 def _all(what: str) -> dict:
