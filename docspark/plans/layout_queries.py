@@ -92,7 +92,7 @@ QUERIES = {f.__name__: f for f in (pdf_lines, pdf_blocks, first_fit_lines, knuth
 
 ORACLE = {
     "pdf_lines": f"WITH {_CHARS} SELECT page, line_no, x0, y0, x1, y1, size, n, first_cp FROM ln",
-    "pdf_blocks": f"""WITH {_CHARS}, k AS (SELECT *, sum(CASE WHEN line_no = 1 OR turn <> was OR first_cp IN ({", ".join(map(str, pagetext.BULLETS))}) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line_no) AS block_no FROM (SELECT *, lag(turn) OVER (PARTITION BY page ORDER BY line_no) AS was FROM ln)),
+    "pdf_blocks": f"""WITH {_CHARS}, k AS (SELECT *, sum(CASE WHEN line_no = 1 OR turn <> was OR least(x1, w1) - greatest(x0, w0) <= 0 OR first_cp IN ({", ".join(map(str, pagetext.BULLETS))}) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line_no) AS block_no FROM (SELECT *, lag(turn) OVER o AS was, lag(x0) OVER o AS w0, lag(x1) OVER o AS w1 FROM ln WINDOW o AS (PARTITION BY page ORDER BY line_no))),
 b AS (SELECT page, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(size) AS size, count(*) AS lines, max(x0) - min(x0) AS l, max((x0 + x1) / 2) - min((x0 + x1) / 2) AS m, max(x1) - min(x1) AS r FROM k GROUP BY 1, 2)
 SELECT page, block_no, x0, y0, x1, y1, size, lines, CASE WHEN lines < 2 OR l <= size / 2 THEN 0 WHEN m <= size / 2 THEN 1 WHEN r <= size / 2 THEN 2 ELSE 0 END AS align FROM b""",
     "first_fit_lines": """WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM conversations),
