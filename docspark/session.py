@@ -10,9 +10,14 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows of a batch that Python gets: whole texts, so a few thousand of them are already tens of MB on both sides.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once per application."""
+    """Sends this package to the executors, once per application, and bounds the rows
+    of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         home = Path(__file__).resolve().parent
