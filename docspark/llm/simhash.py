@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, texts
+from .common import LOWER, spread, stored, texts
 from .graph import connected_components
 
 ONES = (1 << 64) - 1
@@ -130,7 +130,8 @@ def links(nodes: DataFrame, radius: int, bucket: int = 16_384) -> DataFrame:
     """Distinct fp to edges (a, b) that connect just what pairs within the radius
     connect. bucket: fingerprints that are compared in one place."""
     paths: list[tuple[int, int]] = [(0, 0)]  # of each path of tables: bits kept so far, parent
-    rows = nodes.select("fp", F.lit(0).alias("path"))
+    # each row becomes one for every table, so a few large files would be few large tasks
+    rows = nodes.select("fp", F.lit(0).alias("path")).repartition(spread(nodes))
     edges, level, base = None, [0], 0
     while True:
         following = []
