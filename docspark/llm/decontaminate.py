@@ -181,22 +181,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, words_at_onc
         shared = session.sparkContext.broadcast(auto)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             auto = shared.value
-            row = TaskContext.get().partitionId() << 40
             for batch in batches:
                 out = []
-                for text in texts(batch.column(1)):
+                for text, row in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     words = text.translate(WORD).split()
                     spans, items = auto.match(words)
                     out.append((row, len(words), [{"first": a, "last": b} for a, b in spans], sorted({str(auto.names[k]) for k in items})))
-                    row += 1
                 rows, n, spans, items = zip(*out, strict=True) if out else ((), (), (), ())
                 span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
-        passes.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        passes.append(docs.select("doc_id", "text", F.monotonically_increasing_id()).mapInArrow(run, schema))
     if len(passes) == 1:
         return passes[0].drop("row")
     # the same scan each time: a row's number is its partition and place

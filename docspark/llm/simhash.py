@@ -144,11 +144,13 @@ def links(nodes: DataFrame, radius: int, bucket: int = 16_384) -> DataFrame:
         path = (F.col("path") - base) * tables + F.col("table")
         keyed = rows.select("fp", "path", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"))
         keyed = keyed.select("fp", (path + following[0]).alias("path"), F.get(kept, path).bitwiseAND(F.col("fp")).alias("key"))
+        # a bucket has at most 2 ** free fingerprints: with ten free bits or fewer all are small
+        done = max((ONES & ~paths[p][0]).bit_count() for p in following) <= 10
         sizes = stored(keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-        near = keyed.join(sizes.where(F.col("n") <= bucket), ["path", "key"]).groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+        near = keyed.join(sizes.where(F.lit(done) | (F.col("n") <= bucket)), ["path", "key"]).groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
         found = near.mapInArrow(_stars(radius), "a long, b long")
         large = sizes.where(F.col("n") > bucket)
-        if large.isEmpty():
+        if done or large.isEmpty():
             return edges.unionByName(found) if edges is not None else found
         # the other buckets of this level are done; the large ones' rows go on
         found = stored(found, "links")
