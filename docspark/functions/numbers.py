@@ -49,14 +49,15 @@ def _words(v: Column, small: list[str], round_: list[str]) -> Column:
 
 
 def han_counting(v: Column) -> Column:
-    """Up to 99999: one zero for a gap within, ten without its one at the front."""
-    out = F.lit("")
+    """Up to 99999: one zero for a gap within, ten without its one at the front. Each
+    place is told by its digit and the one above it alone."""
+    parts = []
     for power, unit in ((4, "万"), (3, "千"), (2, "百"), (1, "十"), (0, "")):
-        d = _div(v, 10**power) % 10
-        digit = F.when((F.lit(power) == 1) & (v < 20) & (d == 1), "").otherwise(_pick(list(HAN), d))
-        gap = F.when((out != "") & (d != 0) & (_div(v, 10 ** (power + 1)) % 10 == 0), HAN[0]).otherwise("")
-        out = F.when(d == 0, out).otherwise(F.concat(out, gap, digit, F.lit(unit)))
-    return out
+        d, above = _div(v, 10**power) % 10, _div(v, 10 ** (power + 1)) % 10
+        gap = F.when((v >= 10 ** (power + 1)) & (above == 0), HAN[0]).otherwise("")
+        digit = F.when((v >= 10) & (v < 20) & F.lit(power == 1), "").otherwise(_pick(list(HAN), d))
+        parts.append(F.when(d == 0, "").otherwise(F.concat(gap, digit, F.lit(unit))))
+    return F.concat(*parts)
 
 
 def format_number(v: Column, fmt: str) -> Column:

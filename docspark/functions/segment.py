@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def line_breaks(text: str) -> list[int]:
     spaces, regional, number = False, 0, False
     for k, c in enumerate(classes):
         if k:
-            out[at] = _between(classes[k - 1], before, c, classes[k + 1 : k + 2], spaces, regional, number)
+            out[at] = _between(classes[k - 1], before, c, tuple(classes[k + 1 : k + 2]), spaces, regional % 2, number)
         if c == "SP":
             spaces = True
         elif c in ("CM", "ZWJ") and before and not spaces and before not in ("BK", "CR", "LF", "NL", "ZW"):
@@ -62,7 +63,21 @@ def line_breaks(text: str) -> list[int]:
     return out
 
 
-def _between(left: str, before: str, c: str, after: list[str], spaces: bool, regional: int, number: bool) -> int:
+LETTERS = ("AL", "HL")
+#: Class pairs between which no break is allowed.
+PAIRS = {
+    **{(a, "NU"): 0 for a in LETTERS}, **{("NU", a): 0 for a in LETTERS},
+    **{("PR", a): 0 for a in ("ID", "EB", "EM", *LETTERS, "NU", "OP", "HY")}, **{(a, "PO"): 0 for a in ("ID", "EB", "EM", *LETTERS)},
+    **{("PO", a): 0 for a in (*LETTERS, "NU", "OP")}, **{(a, "PR"): 0 for a in LETTERS},
+    **{(a, b): 0 for a in LETTERS for b in LETTERS}, ("HY", "NU"): 0, ("IS", "NU"): 0, ("NU", "NU"): 0, ("SY", "NU"): 0, ("EB", "EM"): 0,
+    **{("IS", a): 0 for a in LETTERS}, **{(a, "OP"): 0 for a in (*LETTERS, "NU")}, **{("CP", a): 0 for a in (*LETTERS, "NU")},
+    ("SY", "HL"): 0,
+    **{("JL", a): 0 for a in ("JL", "JV", "H2", "H3")}, **{(a, b): 0 for a in ("JV", "H2") for b in ("JV", "JT")}, **{(a, "JT"): 0 for a in ("JT", "H3")},
+}
+
+
+@lru_cache(100_000)
+def _between(left: str, before: str, c: str, after: tuple[str, ...], spaces: bool, regional: int, number: bool) -> int:
     """The rule for a place: left is the character before it, before the class that
     counts, spaces whether spaces stand between."""
     if left in ("BK", "LF", "NL") or (left == "CR" and c != "LF"):
@@ -80,7 +95,7 @@ def _between(left: str, before: str, c: str, after: list[str], spaces: bool, reg
         return 0
     if right == "GL" and not spaces and before not in ("BA", "HY"):
         return 0
-    if right in ("CL", "CP", "EX", "SY") or (right == "IS" and not (spaces and after == ["NU"])):
+    if right in ("CL", "CP", "EX", "SY") or (right == "IS" and not (spaces and after == ("NU",))):
         return 0
     if before == "OP" or (before == "QU" and right == "OP") or (before in ("CL", "CP") and right == "NS") or (before == "B2" and right == "B2"):
         return 0
@@ -90,21 +105,11 @@ def _between(left: str, before: str, c: str, after: list[str], spaces: bool, reg
         return 0
     if right == "IN":
         return 0
-    letters = ("AL", "HL")
-    pairs = {
-        **{(a, "NU"): 0 for a in letters}, **{("NU", a): 0 for a in letters},
-        **{("PR", a): 0 for a in ("ID", "EB", "EM", *letters, "NU", "OP", "HY")}, **{(a, "PO"): 0 for a in ("ID", "EB", "EM", *letters)},
-        **{("PO", a): 0 for a in (*letters, "NU", "OP")}, **{(a, "PR"): 0 for a in letters},
-        **{(a, b): 0 for a in letters for b in letters}, ("HY", "NU"): 0, ("IS", "NU"): 0, ("NU", "NU"): 0, ("SY", "NU"): 0, ("EB", "EM"): 0,
-        **{("IS", a): 0 for a in letters}, **{(a, "OP"): 0 for a in (*letters, "NU")}, **{("CP", a): 0 for a in (*letters, "NU")},
-        ("SY", "HL"): 0,
-        **{("JL", a): 0 for a in ("JL", "JV", "H2", "H3")}, **{(a, b): 0 for a in ("JV", "H2") for b in ("JV", "JT")}, **{(a, "JT"): 0 for a in ("JT", "H3")},
-    }
     if number and right in ("PO", "PR"):
         return 0
-    if before == "RI" and right == "RI" and regional % 2 == 1:
+    if before == "RI" and right == "RI" and regional:
         return 0
-    return pairs.get((before, right), 1)
+    return PAIRS.get((before, right), 1)
 
 
 def base_direction(text: str) -> int:
