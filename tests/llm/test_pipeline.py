@@ -30,3 +30,49 @@ def test_near_copies_leave_one(spark):
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in pipeline.near_duplicates(spark, d, SF).collect()}
     assert {1, 4} <= kept and 2 not in kept
+
+
+def test_all_pairs_at_the_similarity_are_linked(spark):
+    import itertools
+    import random
+
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for g in range(25):
+        first = [f"w{rng.randint(0, 999)}" for _ in range(rng.randint(20, 300))]
+        for k in range(rng.randint(2, 6)):
+            w = list(first)
+            for _ in range(rng.randint(0, len(w) // 40 + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 9999)}"
+            rows.append((1_000_000 + g * 100 + k, " ".join(w)))
+    rng.shuffle(rows)
+    sets = []
+    for _, t in rows:
+        w = t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 5 * len(a & b) >= 4 * len(a | b):
+            up[root(i)] = root(j)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want[root(k)] = min(i, want.get(root(k), i))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_duplicates(spark, d, SF)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == sorted(want.values())
+
+
+def test_near_copies_are_decided_by_row(spark):
+    t = "one two three four five six"
+    rows = [(1, t, 1), (2, t, 2), (2, "all other words stand in here", 3), (3, "twice the same id and text", 4), (3, "twice the same id and text", 5), (None, "no id but the same text", 6), (None, "no id but the same text", 7), (4, None, 8), (5, "", 9)]
+    d = spark.createDataFrame([(i, x, "en", "s", n) for i, x, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in pipeline.near_duplicates(spark, d, SF).collect() if r.text)
+    assert got == [("1", t), ("2", "all other words stand in here"), ("3", "twice the same id and text"), ("None", "no id but the same text")]
+    assert pipeline.near_duplicates(spark, d, SF).count() == 5
