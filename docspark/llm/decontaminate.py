@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 #: Bytes to words: A-Z lowered, every other ASCII byte but letters and digits to a space.
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -170,29 +170,31 @@ def automata(benchmark: DataFrame, window: int, words_at_once: int) -> list[Auto
     return [*out, Automaton(part, window)] if part or not out else out
 
 
+def _pass(rows: DataFrame, auto: Automaton) -> DataFrame:
+    """doc_id, text, row to doc_id, row, n_words, spans, items of one automaton."""
+    kind = dict(rows.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, row long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+    shared = rows.sparkSession.sparkContext.broadcast(auto)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = shared.value
+        for batch in batches:
+            out = []
+            for text, row in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words = text.translate(WORD).split()
+                spans, items = auto.match(words)
+                out.append((row, len(words), [{"first": a, "last": b} for a, b in spans], sorted({str(auto.names[k]) for k in items})))
+            rows, n, spans, items = zip(*out, strict=True) if out else ((), (), (), ())
+            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, words_at_once: int = 500_000) -> DataFrame:
     """doc_id, n_words, spans (array of struct first, last: merged ranges of hit
     words), items (sorted ids of the items whose windows occur, as strings)."""
-    session = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, row long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-    passes = []
-    for auto in automata(benchmark, window, words_at_once):
-        shared = session.sparkContext.broadcast(auto)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
-            for batch in batches:
-                out = []
-                for text, row in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                    words = text.translate(WORD).split()
-                    spans, items = auto.match(words)
-                    out.append((row, len(words), [{"first": a, "last": b} for a, b in spans], sorted({str(auto.names[k]) for k in items})))
-                rows, n, spans, items = zip(*out, strict=True) if out else ((), (), (), ())
-                span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
-
-        passes.append(docs.select("doc_id", "text", F.monotonically_increasing_id()).mapInArrow(run, schema))
+    passes = [_pass(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), auto) for auto in automata(benchmark, window, words_at_once)]
     if len(passes) == 1:
         return passes[0].drop("row")
     # the same scan each time: a row's number is its partition and place
@@ -238,40 +240,54 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
+def _cut(batch: pa.RecordBatch, matched: list[list[tuple[int, int]]], max_coverage: float) -> pa.RecordBatch:
+    """The rows of a batch without the spans matched in each, or without the row."""
+    names, keep, changed = batch.schema.names, [], {}
+    for i, (text, spans) in enumerate(zip(texts(batch.column("text")), matched, strict=True)):
+        keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(text.translate(WORD).split()))
+        if spans and keep[-1]:
+            changed[i] = without_spans(text, spans).decode()
+    if changed:
+        col = batch.column("text").to_pylist()
+        for i, x in changed.items():
+            col[i] = x
+        k = names.index("text")
+        batch = batch.set_column(k, batch.schema.field(k), pa.array(col, batch.schema.field(k).type))
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            n = batch.column(k).to_pylist()
+            for i, x in changed.items():
+                n[i] = len(x)
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(n, batch.schema.field(k).type))
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_coverage: float = 0.5, words_at_once: int = 500_000) -> DataFrame:
     """The documents with every matched span removed from their text (column n_chars,
     if there is one, follows); a document of which more than max_coverage of the
-    words is matched goes whole. All columns are kept in order."""
-    names, schema = docs.columns, docs.schema
-    out = docs
-    for auto in automata(benchmark, window, words_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
+    words is matched goes whole. All columns are kept in order. Every automaton
+    matches the text as it was; spans are merged before any is removed."""
+    names, schema, parts = docs.columns, docs.schema, automata(benchmark, window, words_at_once)
+    if len(parts) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(parts[0])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = shared.value
             for batch in batches:
-                keep, changed = [], {}
-                for i, text in enumerate(texts(batch.column("text"))):
-                    words = text.translate(WORD).split()
-                    spans, _ = auto.match(words)
-                    keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
-                    if spans and keep[-1]:
-                        changed[i] = without_spans(text, spans).decode()
-                if changed:
-                    col = batch.column("text").to_pylist()
-                    for i, x in changed.items():
-                        col[i] = x
-                    k = names.index("text")
-                    batch = batch.set_column(k, batch.schema.field(k), pa.array(col, batch.schema.field(k).type))
-                    if "n_chars" in names:
-                        k = names.index("n_chars")
-                        n = batch.column(k).to_pylist()
-                        for i, x in changed.items():
-                            n[i] = len(x)
-                        batch = batch.set_column(k, batch.schema.field(k), pa.array(n, batch.schema.field(k).type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
+                yield _cut(batch, [auto.match(t.translate(WORD).split())[0] for t in texts(batch.column("text"))], max_coverage)
+
+        return docs.mapInArrow(run, schema)
+    # written once, so that every pass and the removal number rows the same
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for auto in parts:
+        hits = _pass(numbered.select("doc_id", "text", F.col("_row").alias("row")), auto).where("size(spans) > 0").select(F.col("row").alias("_row"), "spans")
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_all")).select("_row", _union("_all").alias("_spans"))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matched = [[(x["first"], x["last"]) for x in xs or ()] for xs in batch.column("_spans").to_pylist()]
+            yield _cut(batch.select(names), matched, max_coverage)
+
+    return numbered.join(merged, "_row", "left").select(*names, "_spans").mapInArrow(remove, schema)

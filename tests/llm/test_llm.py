@@ -308,6 +308,18 @@ def test_decontamination_edges(spark, docs, empty):
     assert decontaminate.without_spans(b"Aa, b!  c D.", [(1, 3)]) == b"Aa,  D."[:4] + b" D."[0:]
 
 
+def test_removal_is_the_same_in_one_pass_and_in_several(spark):
+    a, b = [f"a{k}" for k in range(8)], [f"b{k}" for k in range(8)]
+    ab = [*a[4:], *b[:4]]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(ab))], "item_id long, text string")
+    rows = [(1, " ".join([*a, "x", "y", *b, "z", "t"]), "two of 40 %"), (2, " ".join(["x"] * 20 + [*a, *b] + ["y"] * 20), "overlapping"), (3, " ".join(["u"] * 20 + [*a[:4], *a, *a[4:]] + ["v"] * 20), "joined by a cut"), (None, None, "null"), (3, "clean words", "same id")]
+    d = ship(spark).createDataFrame([(i, t, len(t or ""), s) for i, t, s in rows], "doc_id long, text string, n_chars long, source string")
+    once, many = [sorted((r.source, r.text, r.n_chars) for r in decontaminate.decontaminated(d, bench, words_at_once=w).collect()) for w in (500_000, 1)]
+    assert many == once and [r[0] for r in once] == ["joined by a cut", "null", "overlapping", "same id"]
+    assert decontaminate.decontaminated(d, bench, words_at_once=1).columns == d.columns
+    assert once[2][1] == " ".join(["x"] * 20) + "  " + " ".join(["y"] * 20)
+
+
 # quality and lines
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
