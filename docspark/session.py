@@ -10,14 +10,15 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
-#: Rows of a batch that Python gets: whole texts, so a few thousand of them are already tens of MB on both sides.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that Python gets: whole texts, of which a few may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once per application, and bounds the rows
+    """Sends this package to the executors, once per application, and bounds the size
     of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         home = Path(__file__).resolve().parent
