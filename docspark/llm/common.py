@@ -24,6 +24,26 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(of)
 
 
+def fresh(taken: list[str], *wanted: str) -> tuple[str, ...]:
+    """Names for columns of our own that no column in taken has, whatever its case."""
+    low = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def in_sample(doc_id: Column, most: Column | int, of: Column | int) -> Column:
+    """Whether a hash of the id is among the first most / of of all: most rows of of in
+    expectation, at any size."""
+    hashed = F.shiftrightunsigned(F.xxhash64(doc_id), 1).cast("double") / F.lit(float(1 << 63))
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return hashed * as_column(of).cast("double") < as_column(most).cast("double")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
     spark.checkpoint.dir. Only where that is unset (tests, a single machine) a
@@ -47,6 +67,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Stored rows of a few numbers, marked for broadcast if they are counted to be most
+    or fewer (some 50 MB); more are left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the files of a frame made by stored(), once nothing reads it."""
     jvm = df.sparkSession._jvm
