@@ -3,22 +3,24 @@ noise-contrastive estimation.
 
 A word's context vector is the sum of the vectors of the words before it, each
 scaled by the weights of its position; its product with an output's vector,
-and a bias, is the output's score. Outputs are the most frequent words and
-classes of all others, the class being told by a word's ending, so that unseen
-words have one too; within a class words follow their counts. Outputs are few,
-so the softmax is computed whole, as batched matrix products: every token's
+and a bias, is the output's score. Outputs are the ``outs`` most frequent words
+and classes of all others, the class being told by a word's ending, so that
+unseen words have one too; within a class words follow their counts. Outputs are
+few, so the softmax is computed whole, as batched matrix products: every token's
 probability is normalised.
 
-What is gathered: the counts of all words of all training texts. The words of a
-bounded list (``hot``, from a sample; it bears on cost and not on counts) are
-counted in arrays; the others in a shuffle by word, where no hot key is left,
-and joined back. Training starts on the driver from a bounded sample and goes
-on where the texts lie: each partition trains on every ``stride``-th token of
-all its training texts, and the parameters are averaged.
+All that is gathered is of all training texts: the counts of words, combined in
+each task before their shuffle by word; the ``hot`` commonest words and the
+``ENDINGS`` commonest endings from those counts, which are the model's
+vocabulary; and for each ending the common words that stand in texts with it, by
+which endings are put into classes. Every token of every training text is
+trained on once, where it lies: in each of the ``ROUNDS`` a part of the texts,
+told by a hash of the row, goes through every partition's copy of the model, and
+the parameters' mean, weighted by tokens, starts the next round.
 
 Defined results: a null text is empty, its one token the end; without training
 texts the counts are zero; rows with equal or null ids are scored apart, and a
-null id is not learned from; other columns are ignored.
+null id is not learned from; other columns are ignored; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -38,6 +40,12 @@ from .common import LOWER, stored, texts
 END = b"\n"
 MARKS = b".,;:!?"
 ORDER = 3
+#: Endings that tell a word's class; words with another ending share one more.
+ENDINGS = 4096
+#: Common words whose presence beside an ending tells endings apart.
+COMMON = 128
+#: Training texts of each round, in sixteenths of all, its learning rate and batch.
+ROUNDS = ((0, 2, 0.3, 128), (2, 6, 0.2, 256), (6, 16, 0.1, 1024))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -47,31 +55,35 @@ def tokens(text: bytes) -> list[bytes]:
 
 @dataclass
 class Vocabulary:
-    """hot: words by number, the end being 0. A word beyond them has code
-    len(hot) + its class."""
+    """hot: words by number, the end being 0. A word beyond them has the code
+    len(hot) + twice the number of its ending, and one more with a mark behind it."""
 
     hot: dict[bytes, int]
     endings: dict[bytes, int]
-    groups: int  # of endings; each once with and once without a mark behind it
     outs: int = 196
     ins: int = 8192
 
     @property
-    def classes(self) -> int:
-        return 2 * self.groups
+    def codes(self) -> int:
+        return len(self.hot) + 2 * (len(self.endings) + 1)
 
-    def class_of(self, word: bytes) -> int:
+    def ending(self, word: bytes) -> int:
         bare = word.rstrip(MARKS)
-        return 2 * self.endings.get(bare[-3:], 0) + (len(bare) < len(word))
+        return 2 * self.endings.get(bare[-3:], len(self.endings)) + (len(bare) < len(word))
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Input and output number of each code."""
+    def endings_of(self) -> np.ndarray:
+        """The ending, twice its number and the mark, of each code."""
         n = len(self.hot)
-        cls = np.empty(n + self.classes, np.int64)
+        out = np.arange(self.codes) - n
         for w, k in self.hot.items():
-            cls[k] = self.class_of(w)
-        cls[n:] = np.arange(self.classes)
-        code = np.arange(n + self.classes)
+            out[k] = self.ending(w)
+        return out
+
+    def tables(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Input and output number of each code, by the class of each ending."""
+        n, ending = len(self.hot), self.endings_of()
+        cls = 2 * own[ending // 2] + ending % 2
+        code = np.arange(self.codes)
         ins, outs = min(self.ins, n), min(self.outs, n)
         return np.where(code < ins, code, ins + cls), np.where(code < outs, code, outs + cls)
 
@@ -128,96 +140,152 @@ class Model:
             parts.append(np.stack([padded[ORDER - k : ORDER - k + len(x)] for k in range(1, ORDER + 1)], 1))
         return np.concatenate(parts)
 
-    def train(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray, rate: float, rng: np.random.Generator, k: int = 64, batch: int = 1024) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray, rate: float, rng: np.random.Generator, k: int = 32, batch: int = 1024) -> None:
         """Noise-contrastive estimation with Adagrad: the noise words of a batch are k
         draws that its examples share."""
-        grown = self.grown
+        grown, dim = self.grown, self.r.shape[1]
         shift = np.log(k * noise + 1e-20).astype(np.float32)
         for i in range(0, len(y), batch):
             xs, ys = x[i : i + batch], y[i : i + batch]
-            m = len(ys)
-            vecs = [self.r[xs[:, j]] for j in range(ORDER)]
-            ctx = sum(v * self.w[j] for j, v in enumerate(vecs))
-            g = ctx @ self.q.T + (self.b - shift)
-            np.clip(g, -30, 30, out=g)
-            g = 1 / (1 + np.exp(-g))  # how likely each output is data and not noise
-            own = g[np.arange(m), ys] - 1
-            g *= rng.multinomial(k, noise).astype(np.float32)
-            g[np.arange(m), ys] += own
-            g /= np.float32(np.sqrt(m))
-            dctx, dq, db = g @ self.q, g.T @ ctx, g.sum(0)
-            for j, v in enumerate(vecs):
-                dw = (dctx * v).sum(0)
-                order = np.argsort(xs[:, j], kind="stable")
-                at, first = np.unique(xs[order, j], return_index=True)
-                dr = np.add.reduceat((dctx * self.w[j])[order], first)
-                grown["r"][at] += (dr * dr).mean(1)
-                self.r[at] -= rate * dr / np.sqrt(grown["r"][at])[:, None]
-                grown["w"][j] += dw * dw
-                self.w[j] -= 0.1 * rate * dw / np.sqrt(grown["w"][j])
-            grown["q"] += dq * dq
-            self.q -= rate * dq / np.sqrt(grown["q"])
-            grown["b"] += db * db
-            self.b -= rate * db / np.sqrt(grown["b"])
+            vecs = self.r[xs]
+            ctx = np.einsum("bod,od->bd", vecs, self.w)
+            drawn = rng.multinomial(k, noise)
+            at = np.flatnonzero(drawn)
+            q, qy, scale = self.q[at], self.q[ys], np.float32(1 / np.sqrt(len(ys)))
+            # how likely each noise word, and each word that stands there, is data and not noise
+            g = _likely(ctx @ q.T + (self.b[at] - shift[at])) * (drawn[at] * scale).astype(np.float32)
+            own = (_likely(np.einsum("bd,bd->b", ctx, qy) + self.b[ys] - shift[ys]) - 1) * scale
+            dctx = g @ q + own[:, None] * qy
+            dq, db = np.zeros_like(self.q), np.bincount(ys, own, minlength=len(self.b)).astype(np.float32)
+            rows, sums = _by_row(ys, own[:, None] * ctx)
+            dq[rows] = sums
+            dq[at] += g.T @ ctx
+            db[at] += g.sum(0)
+            dw = np.einsum("bd,bod->od", dctx, vecs)
+            rows, dr = _by_row(xs.ravel(), (dctx[:, None, :] * self.w).reshape(-1, dim))
+            grown["r"][rows] += (dr * dr).mean(1)
+            self.r[rows] -= rate * dr / np.sqrt(grown["r"][rows])[:, None]
+            for n, d, step in (("w", dw, 0.1 * rate), ("q", dq, rate), ("b", db, rate)):
+                grown[n] += d * d
+                getattr(self, n).__isub__(step * d / np.sqrt(grown[n]))
 
     def log10(self, x: np.ndarray, y: np.ndarray, batch: int = 512) -> np.ndarray:
         """Normalised log10 probabilities of outputs y after contexts x."""
-        tables = [self.r * self.w[j] for j in range(ORDER)]
-        out = np.empty(len(y))
+        # the bias is one more dimension, in which contexts are 1
+        tables = [np.pad(self.r * self.w[j], ((0, 0), (0, 1)), constant_values=float(j == 0)) for j in range(ORDER)]
+        q = np.concatenate([self.q, self.b[:, None]], 1).T.copy()
+        ones, out = np.ones(q.shape[1], np.float32), np.empty(len(y))
         for i in range(0, len(y), batch):
             xs, ys = x[i : i + batch], y[i : i + batch]
             ctx = tables[0][xs[:, 0]]
             for j in range(1, ORDER):
                 ctx += tables[j][xs[:, j]]
-            s = ctx @ self.q.T
-            s += self.b
-            s -= s.max(1, keepdims=True)
+            s = ctx @ q
+            if max(s.max(), -s.min()) > 60:  # beyond, exponentials wouldn't fit
+                s -= s.max(1, keepdims=True)
             own = s[np.arange(len(ys)), ys]
             np.exp(s, out=s)
-            out[i : i + batch] = own - np.log(s.sum(1))
+            out[i : i + batch] = own - np.log(s @ ones)
         return out / np.log(10)
 
 
-def vocabulary(train: DataFrame, hot: int, sample_docs: int, model_docs: int, groups: int) -> tuple[Vocabulary, list[np.ndarray]]:
-    """The vocabulary, and the codes of the texts the model starts from: both from a
-    bounded sample of doc_id, text in expectation, chosen by a hash of the id."""
-    n = train.count()
-    part = lambda m: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1, m / max(1, n)) * (1 << 20))
+def _likely(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _by_row(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in at, and the sums of their rows of v."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(v[order], first)
+
+
+def word_counts(train: DataFrame, most: int = 200_000) -> DataFrame:
+    """word, ending and c, the number of times that it stands in the texts. A task
+    combines its counts; it holds about ``most`` words at once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([w.rstrip(MARKS)[-3:] for w in words], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "ending", "c"])
+
         for batch in batches:
-            seen: Counter = Counter()
             for t in texts(batch.column(0)):
                 seen.update(tokens(t))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    counts = train.where(part(sample_docs)).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "word").limit(hot).toArrow().column("word").to_pylist()
-    words = {END: 0} | {w: k for k, w in enumerate(got, 1)}
-    vocab = Vocabulary(words, {}, 1)
-    common = min(128, len(words))
-    index: dict[bytes, int] = {}
-    near: list[np.ndarray] = []
-    docs: list[list[bytes]] = []
-    for row in train.where(part(model_docs)).select("text").toLocalIterator():
-        ws = tokens((row.text or "").encode())
-        docs.append(ws)
-        profile = np.bincount([k for w in ws if (k := words.get(w, common)) < common], minlength=common) > 0
-        for e, c in Counter(w.rstrip(MARKS)[-3:] for w in ws).items():
-            k = index.setdefault(e, len(index))
-            if k == len(near):
-                near.append(np.zeros(common + 1))
-            near[k][:common] += c * profile
-            near[k][common] += c
-    if near:
-        m = np.array(near)
-        weight, x = m[:, -1], m[:, :-1] / m[:, -1:]
+                if len(seen) > most:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    each = train.select("text").mapInArrow(count, "word binary, ending binary, c long")
+    return each.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame, hot: int) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary from the counts of all training texts, and its hot words' counts;
+    hot words and ENDINGS endings reach the driver. The end's count is left 0."""
+    got = counts.orderBy(F.desc("c"), "word").limit(hot - 1).select("word", "c").toArrow()
+    ends = counts.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()
+    words = {END: 0} | {w: k for k, w in enumerate(got.column(0).to_pylist(), 1)}
+    return Vocabulary(words, {bytes(x.ending): k for k, x in enumerate(ends)}), np.concatenate([[0], got.column(1).to_numpy()])
+
+
+def _summed(rows: DataFrame, parts: int) -> list[np.ndarray]:
+    """Rows (part, raw float32 numbers) summed by part: in parts tasks, as a stream."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(raw, np.float32)
+                total[k] = total[k] + v if k in total else v.astype(np.float64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "raw": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    schema = "part int, raw binary"
+    got = {x.part: np.frombuffer(x.raw, np.float64) for x in rows.repartition(parts, "part").mapInArrow(add, schema).collect()}
+    return [got[k] for k in sorted(got)]
+
+
+def classes(heads: DataFrame, vocab: Vocabulary, groups: int, parts: int = 16) -> np.ndarray:
+    """The class of each ending: endings that stand in texts with the same common words
+    are one class. heads: codes of all training texts."""
+    ending, n = vocab.endings_of() // 2, len(vocab.endings) + 1
+    common = min(COMMON, len(vocab.hot))
+    shared = heads.sparkSession.sparkContext.broadcast(ending)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z, ending = zstandard.ZstdDecompressor(), shared.value
+        total = np.zeros((n, common + 1), np.float32)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                codes = _unpacked(raw, z)
+                at, c = np.unique(ending[codes], return_counts=True)
+                beside = np.append(np.bincount(codes[codes < common], minlength=common) > 0, True).astype(np.float32)
+                total[at] += c[:, None].astype(np.float32) * beside
+        if not total.any():
+            return
+        rows = np.array_split(total.ravel(), parts)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "raw": pa.array([x.tobytes() for x in rows], pa.binary())})
+
+    m = _summed(heads.select("codes").mapInArrow(profile, "part int, raw binary"), parts)
+    m = np.concatenate(m).reshape(n, common + 1) if m else np.zeros((n, common + 1))
+    own, seen = np.zeros(n, np.int64), m[:, -1] > 0
+    if seen.any():
+        weight, x = m[seen, -1], m[seen, :-1] / m[seen, -1:]
         # rare endings lean on the mean
         mean = np.average(x, axis=0, weights=weight)
         x = (x * weight[:, None] + 5 * mean) / (weight[:, None] + 5)
-        own = _kmeans(np.sqrt(x), weight, groups)
-        vocab = Vocabulary(words, {e: int(own[k]) for e, k in index.items()}, int(own.max()) + 1)
-    return vocab, [np.array([*(c if (c := words.get(w)) is not None else len(words) + vocab.class_of(w) for w in ws), 0], np.int64) for ws in docs]
+        own[seen] = _kmeans(np.sqrt(x), weight, groups)
+    return own
 
 
 def _packed(codes: np.ndarray, z) -> bytes:
@@ -229,16 +297,14 @@ def _unpacked(raw: bytes, z) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
 
 
-CODED = "kind int, row long, doc_id {kind}, train boolean, n long, class int, word binary, codes binary"
+CODED = "kind int, row long, doc_id {kind}, train boolean, n long, word binary, codes binary"
 
 
 def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, text, train to three kinds of rows: 0 a text's codes (n tokens), 1 a
-    word beyond the hot ones in a text (n times), 2 the count n of a hot word (row)
-    in the training texts of a partition."""
+    """doc_id, text, train to two kinds of rows: 0 a text's codes (n tokens), 1 a word
+    beyond the hot ones in a text (n times)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # hot words at most, and endings
-    kind = dict(docs.dtypes)["doc_id"]
-    names = ["kind", "row", "doc_id", "train", "n", "class", "word", "codes"]
+    names = ["kind", "row", "doc_id", "train", "n", "word", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -247,7 +313,6 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         vocab, z = shared.value, zstandard.ZstdCompressor(level=1)
         size, get = len(vocab.hot), vocab.hot.get
         row = TaskContext.get().partitionId() << 40
-        total = np.zeros(size, np.int64)
         for batch in batches:
             ids = batch.column(0)
             head, rare = [], []
@@ -256,45 +321,29 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 codes = list(map(get, words))
                 if None in codes:
                     far = Counter(w for w, c in zip(words, codes, strict=True) if c is None)
-                    own = {w: vocab.class_of(w) for w in far}
-                    codes = [size + own[w] if c is None else c for w, c in zip(words, codes, strict=True)]
-                    rare += [(row, train, n, own[w], w) for w, n in far.items()]
+                    own = {w: size + vocab.ending(w) for w in far}
+                    codes = [own[w] if c is None else c for w, c in zip(words, codes, strict=True)]
+                    rare += [(row, train, n, w) for w, n in far.items()]
                 codes = np.array([*codes, 0], np.int64)
-                if train:
-                    total += np.bincount(codes[codes < size], minlength=size)
                 head.append((row, train, len(codes), _packed(codes, z)))
                 row += 1
             if head:
                 r, t, n, c = zip(*head, strict=True)
                 k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(r, pa.int64()), ids, pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(c, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(r, pa.int64()), ids, pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary()), pa.array(c, pa.binary())], names)
             for i in range(0, len(rare), 100_000):
-                r, t, n, c, w = zip(*rare[i : i + 100_000], strict=True)
+                r, t, n, w = zip(*rare[i : i + 100_000], strict=True)
                 k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(r, pa.int64()), pa.nulls(k, ids.type), pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.array(c, pa.int32()), pa.array(w, pa.binary()), pa.nulls(k, pa.binary())], names)
-        at = np.flatnonzero(total)
-        k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), pa.array(at), pa.nulls(k, pa.int64()).cast(_arrow(kind)), pa.nulls(k, pa.bool_()), pa.array(total[at]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(run, CODED.format(kind=kind))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(r, pa.int64()), pa.nulls(k, ids.type), pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.array(w, pa.binary()), pa.nulls(k, pa.binary())], names)
 
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(run, CODED.format(kind=dict(docs.dtypes)["doc_id"]))
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-
-def _examples(model: Model, docs: list[np.ndarray], ins: np.ndarray, outs: np.ndarray, stride: int = 1, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    x = model.contexts([ins[d] for d in docs])[first::stride]
-    return x, np.concatenate([outs[d] for d in docs])[first::stride]
-
-
-def trained(model: Model, texts_of: DataFrame, vocab: Vocabulary, noise: np.ndarray, stride: int, rate: float = 0.1, groups: int = 8) -> Model:
-    """Training where the texts lie (coded rows of training texts): each partition
-    starts from model and takes every stride-th token of all its texts; the mean of
-    the parameters, weighted by tokens, is the new model. Sums stream through
-    ``groups`` tasks, so the driver gathers that many rows."""
-    spark = texts_of.sparkSession
-    shared = spark.sparkContext.broadcast((model, *vocab.tables(), noise))
+def trained(model: Model, texts_of: DataFrame, ins: np.ndarray, outs: np.ndarray, noise: np.ndarray, rate: float, batch: int, parts: int = 8) -> Model:
+    """One round where the texts lie (codes of training texts): each partition starts
+    from model and takes every token of its texts; the mean of the parameters, weighted
+    by tokens, is the new model."""
+    shared, size = texts_of.sparkSession.sparkContext.broadcast((model, ins, outs, noise)), batch
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -305,79 +354,70 @@ def trained(model: Model, texts_of: DataFrame, vocab: Vocabulary, noise: np.ndar
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             raw = batch.column(0).to_pylist()
-            for i in range(0, len(raw), 500):
-                x, y = _examples(model, [_unpacked(c, z) for c in raw[i : i + 500]], ins, outs, stride, int(rng.integers(stride)))
+            for i in range(0, len(raw), 200):
+                codes = [_unpacked(c, z) for c in raw[i : i + 200]]
+                x, y = model.contexts([ins[d] for d in codes]), outs[np.concatenate(codes)]
                 order = rng.permutation(len(y))
-                model.train(x[order], y[order], noise, rate, rng)
+                model.train(x[order], y[order], noise, rate, rng, batch=size)
                 n += len(y)
         if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([float(n)]), "flat": pa.array([(model.flat() * np.float32(n)).tobytes()], pa.binary())})
+            rows = np.array_split(np.append(model.flat() * np.float32(n), np.float32(n)), parts)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "raw": pa.array([x.tobytes() for x in rows], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0.0, None
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(raw, np.float32).astype(np.float64)
-                n, total = n + k, v if total is None else total + v
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "flat": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "n double, flat binary"
-    rows = texts_of.select("codes").mapInArrow(step, schema).repartition(groups).mapInArrow(add, schema).collect()
-    n = sum(x.n for x in rows)
-    if n:
-        model.load(sum(np.frombuffer(x.flat, np.float32).astype(np.float64) for x in rows) / n)
+    got = _summed(texts_of.select("codes").mapInArrow(step, "part int, raw binary"), parts)
+    if got:
+        flat = np.concatenate(got)
+        model.load(flat[:-1] / flat[-1])
     return model
 
 
-def scored(docs: DataFrame, hot: int = 131_072, sample_docs: int = 6_000, model_docs: int = 2_000, groups: int = 30, dim: int = 32, stride: int = 8) -> DataFrame:
+def scored(docs: DataFrame, hot: int = 131_072, groups: int = 30, dim: int = 32) -> DataFrame:
     """doc_id, text, train to doc_id, n_tokens, n_known, train_tokens, base_score and
     score of every row; learns from rows whose train is true."""
     docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
-    vocab, start = vocabulary(docs.where("train"), hot, sample_docs, model_docs, groups)
+    counts = stored(word_counts(docs.where("train")), "word-counts")
+    vocab, c = vocabulary(counts, hot)
     book = stored(coded(docs, vocab), "coded")
-    size = len(vocab.hot)
-    ins, outs = vocab.tables()
-
-    # counts: hot words in an array, all others by word
-    c = np.zeros(size)
-    got = book.where("kind = 2").groupBy("row").agg(F.sum("n").alias("n")).toArrow()  # hot rows at most
-    c[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    rare = book.where("kind = 1").select("row", "word", "n", "class", "train")
-    counts = stored(rare.groupBy("word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("c"), F.first("class").alias("class")), "word-counts")
-    n_of, v_of = np.zeros(vocab.classes), np.zeros(vocab.classes)
-    for x in counts.where("c > 0").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
-        n_of[x["class"]], v_of[x["class"]] = x.n, x.v
-    n_all, v_all = n_of.sum() + c.sum(), v_of.sum() + np.count_nonzero(c)
-    single = min(vocab.outs, size)
-    cls = outs - single  # of hot words without an output of their own; below 0 for the others
-    beyond = np.flatnonzero(cls[:size] >= 0)
-    np.add.at(n_of, cls[beyond], c[beyond])
-    np.add.at(v_of, cls[beyond], c[beyond] > 0)
-    room = np.log10(n_of + 0.5 * (v_of + 1))  # of each class
+    heads = book.where("kind = 0")
+    learn = heads.where("train")
+    own = classes(learn, vocab, groups)
+    ins, outs = vocab.tables(own)
+    size, single = len(vocab.hot), min(vocab.outs, len(vocab.hot))
+
+    # counts of all training tokens: words, and one end to each text
+    total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    c[0] = learn.count()
+    n_all, v_all = (total.n or 0) + int(c[0]), total.v + (c[0] > 0)
+    # of each class, the tokens and distinct words without an output of their own
+    n_of, v_of = np.zeros(2 * groups), np.zeros(2 * groups)
+    marked = F.length(F.rtrim(F.col("word").cast("string"), F.lit(MARKS.decode()))) < F.length(F.col("word").cast("string"))
+    rows = [(bytearray(e), int(own[k])) for e, k in vocab.endings.items()]
+    by_class = counts.join(F.broadcast(docs.sparkSession.createDataFrame(rows, "ending binary, class int")), "ending", "left")
+    of = 2 * F.coalesce("class", F.lit(int(own[-1]))) + marked.cast("int")
+    for x in by_class.groupBy(of.alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
+        n_of[x.k], v_of[x.k] = x.n, x.v
+    cls = outs - single  # below 0 for words with an output of their own
+    ending = vocab.endings_of()
+    for k in range(1, single):
+        at = 2 * own[ending[k] // 2] + ending[k] % 2
+        n_of[at] -= c[k]
+        v_of[at] -= 1
+    room = np.log10(np.maximum(n_of, 0) + 0.5 * (np.maximum(v_of, 0) + 1))
     seen = np.log10(c + 0.5)
-    base = np.concatenate([seen, np.zeros(vocab.classes)])
-    inner = np.concatenate([np.where(cls[:size] >= 0, seen - room[np.maximum(cls[:size], 0)], 0), -room])
-    known = np.concatenate([c > 0, np.zeros(vocab.classes, bool)])
+    rest = len(outs) - size
+    base = np.concatenate([seen, np.zeros(rest)])
+    inner = np.where(cls >= 0, np.concatenate([seen, np.zeros(rest)]) - room[np.maximum(cls, 0)], 0)
+    known = np.concatenate([c > 0, np.zeros(rest, bool)])
     log_all = float(np.log10(n_all + 0.5 * (v_all + 1)))
 
-    noise = np.ones(single + vocab.classes)
-    noise[:single] += c[:single]
-    noise[single:] += n_of
-    noise /= noise.sum()
+    noise = np.concatenate([c[:single], np.maximum(n_of, 0)]) + 1
+    noise = noise / noise.sum()
     model = Model(int(ins.max()) + 1, len(noise), dim)
     model.b = np.log(noise).astype(np.float32)
-    if start:
-        rng = np.random.default_rng(7)
-        x, y = _examples(model, start, ins, outs)
-        for rate in (0.2, 0.1):
-            order = rng.permutation(len(y))
-            model.train(x[order], y[order], noise, rate, rng)
-    del start
-    heads = book.where("kind = 0")
-    model = trained(model, heads.where("train"), vocab, noise, stride)
+    turn = F.pmod(F.xxhash64("row"), F.lit(16))
+    for first, last, rate, batch in ROUNDS:
+        model = trained(model, learn.where((turn >= first) & (turn < last)), ins, outs, noise, rate, batch)
 
-    kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model, ins, outs, base, inner, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,14 +443,18 @@ def scored(docs: DataFrame, hot: int = 131_072, sample_docs: int = 6_000, model_
                 cols[3] += list(map(len, part))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[3], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["row", "doc_id", "n_tokens", "known", "base", "model"])
 
-    each = heads.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double")
-    own = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("far"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known"))
+    each = heads.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, known long, base double, model double")
+    # a word that no training text holds has no row among the counts
+    rare = book.where("kind = 1").select("row", "word", "n").join(counts.select("word", "c"), "word", "left")
+    held = F.coalesce("c", F.lit(0))
+    far_of = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(held + 0.5)).alias("far"), F.sum(F.when(held > 0, F.col("n")).otherwise(0)).alias("far_known"))
     far = F.coalesce("far", F.lit(0.0))
-    return each.join(own, "row", "left").select(
+    found = each.join(far_of, "row", "left")
+    return found.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + far - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
         (F.col("model") + far).alias("score"),
     )
