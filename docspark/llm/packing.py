@@ -13,8 +13,10 @@ classes reaches the driver, and no piece is compared with another.
 from __future__ import annotations
 
 import zlib
+from bisect import insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,21 +65,51 @@ def best_fit(hist: dict[int, int], capacity: int) -> Counter[Bin]:
     return done
 
 
+@lru_cache(maxsize=100_000)
+def _sums(b: Bin) -> tuple[int, int]:
+    """The lengths in a bin, and the sums of two of them, as sets of bits."""
+    one = two = 0
+    for i, x in enumerate(b):
+        one |= 1 << x
+        for y in b[i + 1 :]:
+            two |= 1 << (x + y)
+    return one, two
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+def _parts(b: Bin, total: int) -> Bin:
+    """One length of a bin, or two, of this total."""
+    if total in b:
+        return (total,)
+    x = next(x for i, x in enumerate(b) if total - x in b[i + 1 :])
+    return (x, total - x)
+
+
 def _exchange(low: Bin, high: Bin, gap: int) -> tuple[Bin, Bin] | None:
     """What low gives and gets so that high grows by the most it can, gap at most;
-    a move gives for nothing."""
-    best: tuple[int, Bin, Bin] | None = None
-    gives = [(x, (x,)) for x in set(low)]
-    gives += list({(low[i] + low[j], (low[i], low[j])) for i in range(len(low)) for j in range(i + 1, len(low))})
-    gets: list[tuple[int, Bin]] = [(0, ())] + [(y, (y,)) for y in set(high)]
-    pairs = list({(high[i] + high[j], (high[i], high[j])) for i in range(len(high)) for j in range(i + 1, len(high))})
-    for x, give in gives:
-        for y, get in gets if len(give) == 2 else gets + pairs:
-            if 0 < x - y <= gap and (best is None or x - y > best[0]):
-                best = (x - y, give, get)
-                if x - y == gap:
-                    return give, get
-    return best and (best[1], best[2])
+    a move gives for nothing. One or two lengths go for one or none, or one for two."""
+    one, two = _sums(low)
+    both, within = one | two, (2 << gap) - 2
+    got_one, got_two = _sums(high)
+    best = (0, 0)
+    for gives, gets in ((both, got_one | 1), (one, got_two)):
+        for y in _bits(gets):
+            if found := gives >> y & within:
+                best = max(best, (found.bit_length() - 1, -y))
+                if best[0] == gap:
+                    break
+    if not best[0]:
+        return None
+    y = -best[1]
+    get = () if not y else (y,) if y in high else _parts(high, y)
+    give = y + best[0]
+    return ((give,) if give in low or len(get) == 2 else _parts(low, give)), get
 
 
 def _without(b: Bin, out: Bin, into: Bin) -> Bin:
@@ -87,49 +119,87 @@ def _without(b: Bin, out: Bin, into: Bin) -> Bin:
     return tuple(sorted([*rest, *into], reverse=True))
 
 
-def local_search(bins: Counter[Bin], capacity: int, steps: int = 20_000) -> Counter[Bin]:
-    """Exchanges between underfull bins until none raises the sum of squared fills,
-    the bins are as few as their content allows, or ``steps`` class pairs were tried."""
-    least = -(-sum(sum(b) * k for b, k in bins.items()) // capacity)
-    total = sum(bins.values())
-    under = {b: k for b, k in bins.items() if sum(b) < capacity}
-    full = Counter({b: k for b, k in bins.items() if sum(b) == capacity})
-    stuck: set[tuple[Bin, Bin]] = set()
-    while under and total > least and steps > 0:
-        moved = False
-        order = sorted(under, key=lambda b: (sum(b), len(b), b))
-        for low in order:  # the emptiest bins give
-            for high in sorted(order, key=lambda b: (-sum(b), b)):
-                if sum(high) < sum(low) or (low, high) in stuck or (low == high and under[low] < 2):
-                    continue
-                steps -= 1
-                found = _exchange(low, high, capacity - sum(high))
-                if not found:
-                    stuck.add((low, high))
-                    if steps <= 0:
-                        break
+class _Search:
+    """Underfull and full bins in classes, and the exchanges between them."""
+
+    def __init__(self, bins: Counter[Bin], capacity: int):
+        self.capacity = capacity
+        self.under = Counter({b: k for b, k in bins.items() if sum(b) < capacity})
+        self.full: Counter[Bin] = Counter()
+        self.total, self.pairs = sum(bins.values()), {}
+        for b, k in bins.items():
+            if sum(b) == capacity:
+                self._add(b, k)
+
+    def _add(self, b: Bin, k: int) -> None:
+        if not b:
+            self.total -= k
+        elif sum(b) < self.capacity:
+            self.under[b] += k
+        else:
+            self.full[b] += k
+            for two in _bits(_sums(b)[1]):
+                self.pairs[two] = b  # a full bin with two lengths of this total
+
+    def _take(self, b: Bin, k: int) -> None:
+        held = self.under if b in self.under else self.full
+        held[b] -= k
+        if not held[b]:
+            del held[b]
+
+    def _swap(self, a: Bin, b: Bin, give: Bin, get: Bin) -> list[Bin]:
+        """Exchanges between as many bins of both classes as there are; the new classes."""
+        k = self.under[a] // 2 if a == b else min(self.under[a], self.under[b] or self.full[b])
+        self._take(a, k)
+        self._take(b, k)
+        new = [_without(a, give, get), _without(b, get, give)]
+        for x in new:
+            self._add(x, k)
+        return new
+
+    def raise_fills(self, queue: list[Bin], least: int) -> None:
+        """Exchanges until none raises the squared fills. queue: classes that haven't
+        been tried with all others; of two the emptier gives."""
+        order = lambda b: (-sum(b), -len(b), b)
+        queue = sorted(queue, key=order)
+        while queue and self.total > least:
+            b = queue.pop()  # the emptiest
+            if b not in self.under:
+                continue
+            for other in sorted(self.under, key=order):
+                low, high = (b, other) if sum(b) <= sum(other) else (other, b)
+                if low == high and self.under[b] < 2:
                     continue
-                give, get = found
-                k = min(under[low], under[high]) if low != high else under[low] // 2
-                for b in (low, high):
-                    under[b] -= k
-                    if not under[b]:
-                        del under[b]
-                for b in (_without(low, give, get), _without(high, get, give)):
-                    if not b:
-                        total -= k
-                    elif sum(b) == capacity:
-                        full[b] += k
-                    else:
-                        under[b] = under.get(b, 0) + k
-                moved = True
-                break
-            if moved or steps <= 0:
-                break
-        if not moved:
-            break
-    full.update(under)
-    return full
+                if found := _exchange(low, high, self.capacity - sum(high)):
+                    for x in (*self._swap(low, high, *found), b):
+                        if x in self.under and x not in queue:
+                            insort(queue, x, key=order)
+                    break
+
+    def refine(self, seen: set[tuple[Bin, int]]) -> list[Bin]:
+        """Swaps a length of an underfull bin, the emptiest first, for two of a full one
+        that make the same: no fill changes, but the underfull bin has finer parts."""
+        for low in sorted(self.under, key=lambda b: (sum(b), len(b), b)):
+            for x in low:
+                high = self.pairs.get(x)
+                if high in self.full and (low, x) not in seen:
+                    seen.add((low, x))
+                    return [y for y in self._swap(low, high, (x,), _parts(high, x)) if y in self.under]
+        return []
+
+
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Exchanges between underfull bins until none raises the sum of squared fills or
+    the bins are as few as their content allows. Where none is left, an underfull bin
+    gets finer parts from a full one. Every step raises the squared fills, or leaves
+    them and raises the number of parts in underfull bins: the search ends by itself."""
+    least = -(-sum(sum(b) * k for b, k in bins.items()) // capacity)
+    search, seen = _Search(bins, capacity), set()
+    queue = list(search.under)
+    while queue and search.total > least:
+        search.raise_fills(queue, least)
+        queue = search.refine(seen)
+    return search.full + search.under
 
 
 def plan(hist: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:

@@ -39,7 +39,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are found across words: a text that holds one goes to the library whole.
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.limit, self.longest = memo, longest
         self.inner: dict[str, bytes] = {}  # words after a space
         self.heads: dict[str, bytes] = {}  # words that begin a line
@@ -100,7 +101,7 @@ class WordEncoder:
         cut, odd = [], []
         for i, t in enumerate(texts):
             if t:
-                (cut if self.lines and plain(t) else odd).append(i)
+                (cut if self.lines and plain(t) and not any(x in t for x in self.added) else odd).append(i)
         for k, x in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
             out[k] = x
         if not cut:
