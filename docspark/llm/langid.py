@@ -15,7 +15,8 @@ Defined results: a text that is null or has no letter is ``und`` with score 0;
 one of whose n-grams no language has any is given the most common language
 with score 0; ties go to the language that sorts first; rows with equal or
 null ids are judged apart (a null id is never learned from); without labelled
-rows all is ``und``.
+rows all is ``und``. There may be any number of languages: a mask has a 64-bit
+word for every 64 of them.
 """
 
 from __future__ import annotations
@@ -28,11 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, in_sample, stored
+
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash and of the filter's two positions.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 SPOTS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
+#: Languages that one mask word has room for; more take several words.
+WIDTH = 64
+
 _LETTERS: list[np.ndarray] = []
 
 
@@ -70,7 +76,7 @@ class Filters:
     """The filter: masks by position, and what reading it needs."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # a row for each mask word
     false: np.ndarray  # a language's rate of false positives
     common: int
     sizes: tuple[int, ...]
@@ -83,33 +89,35 @@ class Filters:
     @classmethod
     def build(cls, languages: list[str], found: dict[int, np.ndarray], common: int, sizes: tuple[int, ...]) -> Filters:
         """found: the n-gram hashes of each language, by number."""
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
         n = max([1, *(len(x) for x in found.values())])
         bits = int(np.ceil(np.log2(max(1 << 12, 16 * n))))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        masks = np.zeros(1 << bits, kind)
+        masks = np.zeros((-(-max(1, len(languages)) // WIDTH), 1 << bits), kind)
         for k, h in found.items():
             for at in cls.spots(h.astype(np.uint64), bits):
-                masks[at] |= kind(1 << k)
-        fill = np.array([np.mean((masks >> kind(k)) & kind(1)) for k in range(len(languages))])
+                masks[k // WIDTH, at] |= kind(1 << k % WIDTH)
+        fill = np.array([np.mean((masks[k // WIDTH] >> kind(k % WIDTH)) & kind(1)) for k in range(len(languages))])
         return cls(languages, masks, fill ** len(SPOTS), common, sizes)
 
+    def languages_of(self, h: np.ndarray) -> np.ndarray:
+        """All languages that contain each n-gram, as bits: a row for each mask word."""
+        a, b = self.spots(h, int(np.log2(self.masks.shape[1])))
+        return self.masks[:, a] & self.masks[:, b]
+
     def shares(self, text: str) -> tuple[np.ndarray, int]:
         """Corrected share of a text's n-grams that each language has, and their number."""
         cp = code_points(text)
-        kind, bits = self.masks.dtype.type, int(np.log2(len(self.masks)))
+        kind = self.masks.dtype.type
         hits, n = np.zeros(len(self.languages)), 0
         for size in self.sizes:
             h = grams(cp, size)
-            a, b = self.spots(h, bits)
-            mask = self.masks[a] & self.masks[b]
+            mask = self.languages_of(h)
             n += len(h)
             if kind is np.uint8:
-                table = np.bincount(mask, minlength=256)
+                table = np.bincount(mask[0], minlength=256)
                 hits += [table[np.arange(256) >> k & 1 == 1].sum() for k in range(len(self.languages))]
             else:
-                hits += [np.count_nonzero(mask >> kind(k) & kind(1)) for k in range(len(self.languages))]
+                hits += [np.count_nonzero(mask[k // WIDTH] >> kind(k % WIDTH) & kind(1)) for k in range(len(self.languages))]
         if not n:
             return np.zeros(len(self.languages)), 0
         return np.clip((hits / n - self.false) / (1 - self.false), 0, 1), n
@@ -134,11 +142,11 @@ def learn(labelled: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sample_docs:
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
     counts = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Filters([], np.zeros(1 << 12, np.uint8), np.zeros(0), 0, sizes)
+        return Filters([], np.zeros((1, 1 << 12), np.uint8), np.zeros(0), 0, sizes)
     languages = sorted(counts)
     number = {x: k for k, x in enumerate(languages)}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, sample_docs / n) * (1 << 20)))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+    # one row a language
+    sample = rows.join(F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_of"))), "lang").where(in_sample(F.col("doc_id"), sample_docs, F.col("_of")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,22 +162,29 @@ def learn(labelled: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sample_docs:
     totals = each.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = each.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # one row a language
     peak = rated.groupBy("h").agg(F.max("rate").alias("peak"))
-    held = rated.where(F.col("n") >= least).join(peak, "h").where(F.col("rate") >= ratio * F.col("peak"))
-    from pyspark.sql import Window as W
-
-    kept = held.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("r") <= top)
+    held = stored(rated.where(F.col("n") >= least).join(peak, "h").where(F.col("rate") >= ratio * F.col("peak")).select("lang", "h", "n"), "grams")
+    # the count from which on a language keeps all, by a histogram of counts and not by
+    # sorting a language in one place; of those with the next lower count, as many as
+    # there is room for in expectation, by a hash
+    cuts, room = {}, {}
+    for x in sorted(held.groupBy("lang", "n").agg(F.count("*").alias("of")).collect(), key=lambda x: (x.lang, -x.n)):
+        left = room.setdefault(x.lang, top)
+        if left > 0:
+            cuts[x.lang] = (x.lang, x.n, left, x.of)
+        room[x.lang] = left - x.of
+    kept = held.join(F.broadcast(rows.sparkSession.createDataFrame(list(cuts.values()), "lang int, cut long, most long, of long")), "lang")
+    kept = kept.where((F.col("n") > F.col("cut")) | ((F.col("n") == F.col("cut")) & in_sample(F.col("h"), F.col("most"), F.col("of"))))
     got = kept.select("lang", "h").toArrow()
     lang, h = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
     found = {k: h[lang == k] for k in range(len(languages))}
     return Filters.build(languages, found, number[min(counts, key=lambda x: (-counts[x], x))], sizes)
 
 
-def identified(docs: DataFrame, filters: Filters) -> DataFrame:
-    """All columns of docs, then lang_pred, score and coverage (the share of n-grams
-    that the language has)."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most 64 * top n-grams' masks
+def identified(docs: DataFrame, filters: Filters, own: tuple[str, ...] = ("_lang_pred", "_score", "_coverage")) -> DataFrame:
+    """All columns of docs, then under the names in own the language, its score and its
+    coverage (the share of n-grams that the language has)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # masks for at most top n-grams a language
     names = docs.columns
-    own = ["_lang_pred", "_score", "_coverage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
@@ -188,6 +203,9 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def with_language(docs: DataFrame, filters: Filters, least_coverage: float = 0.2) -> DataFrame:
     """The documents that have letters and of whose n-grams some language has at
-    least least_coverage; all columns are kept."""
-    out = identified(docs, filters)
-    return out.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_coverage") >= least_coverage)).select(*docs.columns)
+    least least_coverage; all columns are kept. With nothing learned all documents stay."""
+    if not filters.languages:
+        return docs
+    own = fresh(docs.columns, "_lang_pred", "_score", "_coverage")
+    out = identified(docs, filters, own)
+    return out.where((F.col(own[0]) != UNKNOWN) & (F.col(own[2]) >= least_coverage)).select(*docs.columns)

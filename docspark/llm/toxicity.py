@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import in_sample, texts
 from .decontaminate import WORD
 
 BLOCK = 64
@@ -152,8 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 2000, terms: int =
     total = [counts.get(0, 0), counts.get(1, 0)]
     if not all(total):
         return Index({}, np.zeros(0))
-    part = [int(min(1, examples / n) * (1 << 20)) for n in total]
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("y") == 1, part[1]).otherwise(part[0]))
+    chosen = known.where(in_sample(F.col("doc_id"), examples, F.when(F.col("y") == 1, total[1]).otherwise(total[0])))
     # 2 * examples rows of an id and a class in expectation
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
