@@ -9,9 +9,9 @@ joins. Each occurrence but the first, by document id and place, covers its
 three lines; a line that any later occurrence covers is removed.
 
 Defined results: a null text stays null, an empty one empty; a text with fewer
-than three lines with text is not touched; rows with a null id are neither
-compared nor changed; rows with equal ids count as one document and are
-changed alike; a document may lose all its lines and then has an empty text.
+than three lines with text is not touched; rows are compared one by one, those
+with equal ids in any order that stays, those with a null id after all others; a
+document may lose all its lines and then has an empty text.
 """
 
 from __future__ import annotations
@@ -19,18 +19,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stored
+
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, at (the first line's number), lines (numbers of the three lines), h1, h2."""
+    """docs (row, doc_id, text) to row, place (orders windows: null ids last, doc_id,
+    row, the first line's number), lines (numbers of the three lines), h1, h2."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i")))
-    full = docs.where("doc_id is not null and text is not null").select("doc_id", F.filter(lines, lambda x: x["t"] != "").alias("full"))
+    full = docs.where("text is not null").select("row", "doc_id", F.filter(lines, lambda x: x["t"] != "").alias("full"))
     n = F.size("full") - 2
     three = F.transform(F.slice("full", F.lit(1), F.greatest(n, F.lit(0))), lambda x, k: F.array(x, F.get("full", k + 1), F.get("full", k + 2)))
-    w = full.select("doc_id", F.explode(three).alias("w"))
+    w = full.select("row", "doc_id", F.explode(three).alias("w"))
     line = [F.col("w")[k]["t"] for k in range(3)]
     return w.select(
-        "doc_id",
-        F.col("w")[0]["i"].alias("at"),
+        "row",
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", F.col("w")[0]["i"].alias("at")).alias("place"),
         F.array(*[F.col("w")[k]["i"] for k in range(3)]).alias("lines"),
         F.xxhash64(*line).alias("h1"),
         F.xxhash64(F.lit(1), *reversed(line)).alias("h2"),
@@ -38,27 +41,33 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, gone: the numbers of the lines that a later occurrence covers."""
+    """docs (row, doc_id, text) to row, gone: the numbers of the lines that a later
+    occurrence covers."""
     w = windows(docs)
-    first = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
-    later = w.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("doc_id", "at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    first = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    later = w.join(first.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), ["h1", "h2"])
+    later = later.where((F.col("row") != F.col("first_row")) | (F.col("place.at") != F.col("first_at")))
+    return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
 def deduplicated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """The documents, all columns in order, with covered lines removed from the text
-    and n_chars, if there is one, of the new text. counts adds n_lines and n_removed."""
-    gone = covered(docs).withColumnRenamed("doc_id", "_id")
+    and n_chars, if there is one, of the new text. counts adds n_lines and n_removed.
+    Rows are numbered and written first, so that both readings number them alike."""
     names = docs.columns
-    split = docs.select(*[c for c in names if c != "text"], F.split("text", "\n", -1).alias("_lines"))
-    both = split.join(gone, split.doc_id == gone._id, "left").drop("_id")
-    n = F.size("_lines")
-    keep = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n"))
-    out = both.select(*[c for c in names if c not in ("text", "n_chars")], text.alias("text"), *(["n_chars"] if "n_chars" in names else []), *([n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []), F.col("gone").isNotNull().alias("_changed"))
+    row, gone, lines = fresh([*names, "n_lines", "n_removed"], "_row", "_gone", "_lines")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = covered(numbered.select(F.col(row).alias("row"), "doc_id", "text")).select(F.col("row").alias(row), F.col("gone").alias(gone))
+    both = numbered.join(found, row, "left").withColumn(lines, F.split("text", "\n", -1))
+    n, changed = F.size(lines), F.col(gone).isNotNull()
+    keep = F.array_except(F.sequence(F.lit(0), n - 1), gone)
+    text = F.when(changed, F.array_join(F.transform(keep, lambda i: F.get(F.col(lines), i)), "\n")).otherwise(F.col("text"))
+    out = both.withColumn("text", text)
+    if counts:
+        out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")})
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*names, *(["n_lines", "n_removed"] if counts else []))
 
 
