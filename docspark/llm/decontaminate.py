@@ -12,8 +12,8 @@ window. Items of an automaton are bounded (``words_at_once``); a larger
 benchmark is matched in several passes whose results are merged per document.
 
 Defined results: null or empty text has no words and no hits; items without
-words match nothing; repeated items each count; an empty benchmark leaves all
-clean; rows with equal or null ids are kept apart; other columns are ignored.
+words match nothing; items of one id count as one, and all without an id as one of
+an empty name; an empty benchmark leaves all clean; rows with equal or null ids are kept apart; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import fresh, stored, texts
 
 #: Bytes to words: A-Z lowered, every other ASCII byte but letters and digits to a space.
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -183,7 +183,7 @@ def _pass(rows: DataFrame, auto: Automaton) -> DataFrame:
             for text, row in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.translate(WORD).split()
                 spans, items = auto.match(words)
-                out.append((row, len(words), [{"first": a, "last": b} for a, b in spans], sorted({str(auto.names[k]) for k in items})))
+                out.append((row, len(words), [{"first": a, "last": b} for a, b in spans], sorted({'' if auto.names[k] is None else str(auto.names[k]) for k in items})))
             rows, n, spans, items = zip(*out, strict=True) if out else ((), (), (), ())
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
@@ -194,13 +194,14 @@ def _pass(rows: DataFrame, auto: Automaton) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, words_at_once: int = 500_000) -> DataFrame:
     """doc_id, n_words, spans (array of struct first, last: merged ranges of hit
     words), items (sorted ids of the items whose windows occur, as strings)."""
-    passes = [_pass(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), auto) for auto in automata(benchmark, window, words_at_once)]
-    if len(passes) == 1:
-        return passes[0].drop("row")
-    # the same scan each time: a row's number is its partition and place
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
+    rows, parts = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), automata(benchmark, window, words_at_once)
+    if len(parts) == 1:
+        return _pass(rows, parts[0]).drop("row")
+    # written once, so that every pass numbers rows the same
+    rows = stored(rows, "numbered")
+    both = None
+    for auto in parts:
+        both = _pass(rows, auto) if both is None else both.unionByName(_pass(rows, auto))
     merged = both.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.select("doc_id", "n_words", _union("spans").alias("spans"), "items")
 
@@ -268,6 +269,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_c
     words is matched goes whole. All columns are kept in order. Every automaton
     matches the text as it was; spans are merged before any is removed."""
     names, schema, parts = docs.columns, docs.schema, automata(benchmark, window, words_at_once)
+    number, spans_of = fresh(names, "_row", "_spans")
     if len(parts) == 1:
         shared = docs.sparkSession.sparkContext.broadcast(parts[0])
 
@@ -278,16 +280,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_c
 
         return docs.mapInArrow(run, schema)
     # written once, so that every pass and the removal number rows the same
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     found = None
     for auto in parts:
-        hits = _pass(numbered.select("doc_id", "text", F.col("_row").alias("row")), auto).where("size(spans) > 0").select(F.col("row").alias("_row"), "spans")
+        hits = _pass(numbered.select("doc_id", "text", F.col(number).alias("row")), auto).where("size(spans) > 0").select(F.col("row").alias(number), "spans")
         found = hits if found is None else found.unionByName(hits)
-    merged = found.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_all")).select("_row", _union("_all").alias("_spans"))
+    merged = found.groupBy(number).agg(F.flatten(F.collect_list("spans")).alias("all")).select(number, _union("all").alias(spans_of))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matched = [[(x["first"], x["last"]) for x in xs or ()] for xs in batch.column("_spans").to_pylist()]
+            matched = [[(x["first"], x["last"]) for x in xs or ()] for xs in batch.column(spans_of).to_pylist()]
             yield _cut(batch.select(names), matched, max_coverage)
 
-    return numbered.join(merged, "_row", "left").select(*names, "_spans").mapInArrow(remove, schema)
+    return numbered.join(merged, number, "left").select(*names, spans_of).mapInArrow(remove, schema)

@@ -7,15 +7,15 @@ span less than the whole space, so some v is orthogonal to all of them: in its
 table the two fingerprints have one key. No pair within the radius is missed.
 
 A bucket is compared in one place only if its size is bounded (``bucket``), and
-there by the tables of its free bits again. The fingerprints of a larger one are keyed again by the bits still free, under the same guarantee,
-until buckets are small; a bucket has no more distinct fingerprints than its
+there by the tables of its free bits again. The fingerprints of a larger one are
+keyed again by the bits still free, under the same guarantee, until buckets are small; a bucket has no more distinct fingerprints than its
 free bits can spell, so this ends without a cap. Equal fingerprints are one
 node from the start, so copies make no pairs.
 
 Defined results: a text without words (null, empty) has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle; rows with
-equal ids are kept; rows with a null id link, and give no component its name
-unless it has no other.
+equal ids stay apart in the result; rows with a null id link, and give no
+component its name unless it has no other.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, spread, stored, texts
+from .common import LOWER, fresh, spread, stored, texts
 from .graph import connected_components
 
 ONES = (1 << 64) - 1
@@ -178,10 +178,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The documents without those that are linked to one with a smaller id; of rows
-    with equal ids and texts one stays. All columns are kept."""
-    found = stored(components(stored(fingerprints(docs, shingle), "fingerprints"), radius), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component: that with the least doc_id, null ids last, and one of
+    those with equal ids. Rows are decided one by one. All columns are kept."""
+    row = fresh(docs.columns, "_row")[0]
+    whole = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = stored(fingerprints(whole.select(F.col(row).alias("doc_id"), "text"), shingle), "fingerprints")
+    ids = whole.select(F.col(row).alias("row"), "doc_id")
+    found = components(prints, radius).select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r"))
+    return whole.join(first.select(F.col("r.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 

@@ -12,9 +12,10 @@ that refer to it; which, is found by an aggregation of digests before any file
 is written.
 
 Defined results: a null payload is an empty one; rows with a null id are
-written but no revisit refers to them unless they are the only choice; rows
-with equal ids and payloads are revisits of themselves but for one; an empty
-table makes no file; a truncated file's last record is dropped and reported in
+written but no revisit refers to them unless they are the only choice, and then
+it names no id; of rows with equal ids and payloads one counts as above and the
+others are revisits, those of the least URL first (null URLs last); an empty table
+makes no file; a truncated file's last record is dropped and reported in
 the index as ``truncated``.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -57,7 +59,7 @@ def record(kind: str, page_id, url: str | None, payload: bytes, sha1: str, refer
         "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -148,16 +150,29 @@ def read_member(file, entry: dict) -> tuple[dict[str, str], bytes]:
 
 
 def kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, html (binary, nulls as empty), url, sha1, and first: for a page with
-    the payload of another, the page that is the response. Payloads of fewer than
-    least_bytes are not compared."""
+    """page_id, url, html (binary, nulls as empty), sha1, first (the page that revisits
+    refer to), responses and revisits (how many records to write of each kind).
+    Payloads of fewer than least_bytes are not compared."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     raw = pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("sha1"))
-    keys = raw.where(F.length("html") >= least_bytes).select("page_id", "sha1")
-    best = keys.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # of the small keys alone; a payload that a third of all pages share is one row there
-    found = keys.join(best.select("sha1", "first"), "sha1").where("page_id is null or page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "first").distinct()
-    return raw.join(found, (raw.page_id.eqNullSafe(found._id)) & (raw.sha1 == found._sha1), "left").select("page_id", "url", "html", "sha1", "first")
+    # a payload that a third of all pages share is one row of each task before the shuffle
+    each = raw.where(F.length("html") >= least_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("copies"))
+    best = each.groupBy("sha1").agg(F.max("page_id").alias("first"), F.sum("copies").alias("n")).where("n > 1").drop("n")
+    # only what isn't a lone response
+    found = stored(each.join(best, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("copies") > 1)).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "first", "copies"), "revisits")
+    same = lambda f: raw.page_id.eqNullSafe(f._id) & (raw.sha1 == f._sha1)
+    repeated = found.where("copies > 1")
+    lone = F.coalesce(F.col("copies"), F.lit(1)) == 1
+    kind = F.col("_sha1").isNull().cast("int")
+    out = raw.join(found, same(found), "left").where(lone).select("page_id", "url", "html", "sha1", "first", kind.alias("responses"), (1 - kind).alias("revisits"))
+    if repeated.isEmpty():
+        return out
+    # rows of one id and payload: counted by URL, with the payload once
+    rows = raw.join(repeated, same(repeated)).groupBy("page_id", "sha1", "url", "first").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    lead = rows.groupBy("page_id", "sha1").agg(F.min(F.struct(F.col("url").isNull(), "url")).alias("lead")).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("lead.url").alias("_url"))
+    with_lead = rows.join(lead, rows.page_id.eqNullSafe(lead._id) & (rows.sha1 == lead._sha1))
+    kind = (F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("_url"))).cast("int")
+    return out.unionByName(with_lead.select("page_id", "url", "html", "sha1", "first", kind.alias("responses"), (F.col("n") - kind).cast("int").alias("revisits")))
 
 
 def write_archives(pages: DataFrame, out_dir: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", keep_monolithic: bool = False) -> DataFrame:
@@ -171,10 +186,12 @@ def write_archives(pages: DataFrame, out_dir: str, least_bytes: int = 0, date: s
         where.create_dir(path.rsplit("/", 1)[0], recursive=True)
         z, out = zlib.compressobj(1, zlib.DEFLATED, 31), None
         for batch in batches:
-            for page_id, url, html, sha1, first in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for page_id, url, html, sha1, first, responses, revisits in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 out = out or where.open_output_stream(path, compression=None)
                 sha = base64.b32encode(bytes.fromhex(sha1)).decode()
-                out.write(z.compress(record("response" if first is None else "revisit", page_id, url, html, sha, first, date)))
+                for kind, n in (("response", responses), ("revisit", revisits)):
+                    for _ in range(n):
+                        out.write(z.compress(record(kind, page_id, url, html, sha, first, date)))
         if out:
             out.write(z.flush())
             out.close()
@@ -191,13 +208,17 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     payload_digest, record_type, refers_to. A revisit's length and digest are those of
     the payload that it refers to, as its headers have them."""
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 where, name = filesystem(path)
                 with where.open_input_file(name) as file, where.open_input_stream(name + ".idx", compression=None) as index:
                     rows = []
-                    for line in index.read().splitlines():
+                    for line in io.BufferedReader(index):
                         entry = json.loads(line)
                         if entry.get("truncated"):
                             continue
@@ -206,11 +227,13 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                         kind, sha = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response" and digest(payload) != sha:
                             raise ValueError(f"{path} at {entry['offset']}: the payload doesn't match its digest")
-                        page = head["warc-record-id"][10:-1]
-                        rows.append((int(page) if page else None, len(payload) if kind == "response" else int(head["x-payload-length"]), sha, kind, int(head["warc-refers-to"][10:-1]) if kind == "revisit" else None))
-                    for i in range(0, len(rows), 10_000):
-                        cols = zip(*rows[i : i + 10_000], strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        page, refers = head["warc-record-id"][10:-1], head.get("warc-refers-to", "")[10:-1]
+                        rows.append((int(page) if page else None, len(payload) if kind == "response" else int(head["x-payload-length"]), sha, kind, int(refers) if refers else None))
+                        if len(rows) == 10_000:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
 
     n = archives.count()
     return archives.select("path").repartition(max(1, n), "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
