@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lookups import ranked
+
 
 def islands(rows: DataFrame, by: list[Column], order: list[Column], starts: Column, as_: str = "island") -> DataFrame:
     """Numbers stretches of rows; a row begins one where starts is true or unknown."""
@@ -69,8 +71,9 @@ def author_index(marks: DataFrame, author: str, order: list[str]) -> DataFrame:
     """Authors by first appearance, and the colour number of each (eight in turn).
     The rank runs over distinct authors, not over marks."""
     first = marks.groupBy(author).agg(F.min(F.struct(*order)).alias("first"))
-    ranked = first.withColumn("author_no", F.row_number().over(W.orderBy("first", author)) - 1)
-    return ranked.withColumn("colour", F.col("author_no") % 8)
+    spread = first.select(author, "first", *[F.col(f"first.{c}").alias(f"_{c}") for c in order])
+    numbered = ranked(spread, [*[f"_{c}" for c in order], author], "author_no").drop(*[f"_{c}" for c in order])
+    return numbered.withColumn("author_no", F.col("author_no") - 1).withColumn("colour", F.col("author_no") % 8)
 
 
 def last_steps(ops: DataFrame, by: list[str], order: Column, keep: int) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import purified
-from ..operators import breaking, pagetext
+from ..operators import breaking, lookups, pagetext
 from ..sources import bibtex
 from .common import table
 
@@ -56,7 +55,7 @@ def hyphen_points(spark: SparkSession, d: str) -> DataFrame:
 
 def bib_sort(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "part").select("p_partkey", F.concat(purified(F.col("p_name")), F.lit("\x01"), F.col("p_size").cast("string"), F.lit("\x01"), purified(F.col("p_type"))).alias("sortkey"))
-    return c.withColumn("ord", F.row_number().over(W.orderBy("sortkey", "p_partkey")))
+    return lookups.ranked(c, ["sortkey", "p_partkey"], "ord")
 
 
 def _bib(spark: SparkSession, d: str) -> DataFrame:

@@ -50,9 +50,13 @@ def seq_counter(spark: SparkSession, d: str) -> DataFrame:
     return numbering.sequence_numbers(orders, [F.col("o_custkey")], F.col("o_orderpriority"), [F.col("o_orderkey")])
 
 
+#: An order of lines that leaves no ties: a line's keys may be repeated.
+TOTAL_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
 def note_restart(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_returnflag") == "R").alias("endnote"))
-    return numbering.note_numbers(lines, [F.col("l_suppkey")], F.col("endnote"), [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], [F.floor(F.col("l_orderkey") / 100)], 5).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "note_no_export", "note_no_layout")
+    lines = table(spark, d, "lineitem").withColumn("endnote", F.col("l_returnflag") == "R")
+    return numbering.note_numbers(lines, [F.col("l_suppkey")], F.col("endnote"), [F.col(c) for c in TOTAL_ORDER], [F.floor(F.col("l_orderkey") / 100)], 5).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "note_no_export", "note_no_layout")
 
 
 _LEVEL = "(l_partkey % 3)"
@@ -134,7 +138,7 @@ ORACLE = {
     "number_symbols": f"SELECT p_partkey, CASE WHEN v <= 0 THEN v::VARCHAR ELSE repeat(substr('{numbers.SYMBOLS}', (v - 1) % 4 + 1, 1), least(8, (v - 1) // 4 + 1)::INT) END AS symbol, CASE WHEN v BETWEEN 1 AND 20 THEN chr((9311 + v)::INT) ELSE v::VARCHAR END AS circled FROM (SELECT p_partkey, {_V} AS v FROM part)",
     "chart_number_format": "SELECT p_partkey, format('{:,.2f}', p_retailprice) AS grouped, printf('%.4f', p_retailprice / 10000 * 100) || '%' AS percent, printf('%.0f', p_retailprice) AS whole FROM part",
     "seq_counter": "SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS seq_no FROM orders",
-    "note_restart": "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS note_no_export, 4 + row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'R', l_orderkey // 100 ORDER BY l_orderkey, l_linenumber, l_partkey) AS note_no_layout FROM lineitem",
+    "note_restart": "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY " + ", ".join(TOTAL_ORDER) + ") AS note_no_export, 4 + row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'R', l_orderkey // 100 ORDER BY " + ", ".join(TOTAL_ORDER) + ") AS note_no_layout FROM lineitem",
     "list_labels": f"""WITH {_ITEMS}, f AS (SELECT *, CASE WHEN n2 > 0 THEN n2 + 3 ELSE 0 END AS c2, {_ROMAN} AS r FROM c)
 SELECT l_suppkey, seq, level, CASE level WHEN 0 THEN c0::VARCHAR || '.' WHEN 1 THEN c0::VARCHAR || '.' || CASE WHEN c1 = 0 THEN '0' ELSE CASE WHEN c1 > 702 THEN chr((97 + (c1 - 703) // 676 % 26)::INT) ELSE '' END || CASE WHEN c1 > 26 THEN chr((97 + (c1 - 27) // 26 % 26)::INT) ELSE '' END || chr((97 + (c1 - 1) % 26)::INT) END || ')'
   ELSE '(' || r[3][c2 // 10 % 10 + 1] || r[4][c2 % 10 + 1] || ')' END AS label FROM f""",

@@ -69,6 +69,10 @@ ORACLE = {
     "docx_round_trip": f"WITH {_T} SELECT conv_id, ord, 'body' AS role, text FROM t",
     "rtf_import": f"WITH {_T} SELECT conv_id, ord, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM t",
     "latex_import": f"WITH {_T}, p AS (SELECT conv_id, ord, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM t) SELECT conv_id, ord, 'heading' AS role, 1 AS level, text FROM p",
+    "theme_colours": """WITH p AS (SELECT p_partkey, p_partkey::INT % 16777216 AS c FROM part), h AS (SELECT *, c // 65536 / 255 AS r, c // 256 % 256 / 255 AS g, c % 256 / 255 AS b FROM p),
+s AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM h), z AS (SELECT *, CASE WHEN t - l < 1e-9 THEN 0 WHEN t + l > 1 THEN (t - l) / (2 - t - l) ELSE (t - l) / (t + l) END AS sat FROM s),
+k AS (SELECT p_partkey, c, CASE WHEN t - l < 1e-9 THEN [128, 128, 128] ELSE list_transform([r, g, b], lambda x: floor((0.5 - sat / 2 + sat * (x - l) / (t - l)) * 255 + 0.5)::INT) END AS v FROM z)
+SELECT p_partkey, c AS same, v[1] * 65536 + v[2] * 256 + v[3] AS half FROM k""",
     "edit_insert_delete": "SELECT doc_id, left(text, 3) || '[new]' || substr(text, 4) AS inserted, substr(text, 4) AS deleted FROM documents",
     "edit_split": "SELECT doc_id, 0 AS half, 'heading' AS role, left(text, 5) AS text FROM documents UNION ALL SELECT doc_id, 1, 'body', substr(text, 6) FROM documents",
     "markers": """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 3 OR l_linenumber = 3 AND l_returnflag = 'R' THEN l_linenumber + 10 ELSE l_linenumber END AS after_insert,

@@ -79,6 +79,7 @@ def json_trees(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_append, stream_compaction_due, stream_deduplicate, stream_sessions, grapheme_counts, line_break_counts, text_direction, delta_replay, delta_continuity, json_trees)}
 
 ORACLE = {
+    "grapheme_counts": "SELECT conv_id, turn, length_grapheme(text) AS graphemes FROM conversations",
     "stream_append": "SELECT user_id AS doc, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events",
     "stream_compaction_due": "SELECT doc, k * 4 AS upto FROM (SELECT user_id AS doc, count(*) // 4 AS n FROM events GROUP BY 1), unnest(range(1, n + 1)) AS r(k)",
     "stream_deduplicate": "SELECT user_id AS doc, event_id FROM events",
