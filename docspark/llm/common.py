@@ -91,6 +91,24 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def tidy() -> None:
+    """Gives back what earlier tasks of this Python worker left: words that a tokeniser
+    keeps, and free memory that the allocators hold. For the start of a task that has
+    no use for them."""
+    import ctypes
+    import gc
+    import sys
+
+    if tokens := sys.modules.get("docspark.llm.tokens"):
+        tokens.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, texts
+from .common import fresh, stored, texts, tidy
 
 #: Bytes to words: A-Z lowered, every other ASCII byte but letters and digits to a space.
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -274,6 +274,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_c
         shared = docs.sparkSession.sparkContext.broadcast(parts[0])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tidy()
             auto = shared.value
             for batch in batches:
                 yield _cut(batch, [auto.match(t.translate(WORD).split())[0] for t in texts(batch.column("text"))], max_coverage)

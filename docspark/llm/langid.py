@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_sample, stored
+from .common import fresh, in_sample, stored, tidy
 
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash and of the filter's two positions.
@@ -149,6 +149,7 @@ def learn(labelled: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sample_docs:
     sample = rows.join(F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_of"))), "lang").where(in_sample(F.col("doc_id"), sample_docs, F.col("_of")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             by: dict[int, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -187,6 +188,7 @@ def identified(docs: DataFrame, filters: Filters, own: tuple[str, ...] = ("_lang
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         filters = shared.value
         for batch in batches:
             found = [filters.predict(t) for t in batch.column(names.index("text")).to_pylist()]

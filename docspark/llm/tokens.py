@@ -149,6 +149,10 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def forget() -> None:
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> WordEncoder:
     """One per worker process: its memo outlives a task."""
     if path not in _ENCODERS:
