@@ -40,6 +40,27 @@ def adopted(own: DataFrame, template: DataFrame, name: str, kind: str, props: li
     )
 
 
+def cell_parts(row: F.Column, col: F.Column, rows: F.Column, last: F.Column, row_band: int = 1, col_band: int = 1, without: tuple[str, ...] = ()) -> F.Column:
+    """All parts of a table style that a cell takes, weakest first, as an array. last: the
+    cell is its row's last; without: what the table's look leaves out, of first_row,
+    last_row, first_col, last_col, band_v, band_h. Bands count from behind a header."""
+    on = lambda name: F.lit(name not in without)
+    top, left = on("first_row") & (row == 0), on("first_col") & (col == 0)
+    bottom, right = on("last_row") & (row == rows - 1) & (rows > 1), on("last_col") & last & (col > 0)
+    r, c = row - int("first_row" not in without), col - int("first_col" not in without)
+    band = lambda k, size, way: F.when(F.floor(k / size) % 2 == 1, f"band2_{way}").otherwise(f"band1_{way}")
+    corner = {"nw": top & left, "ne": top & right, "sw": bottom & left, "se": bottom & right}
+    edges = {"first_col": left, "last_col": right, "first_row": top, "last_row": bottom} | corner
+    bands = [F.when(on("band_v") & (c >= 0), band(c, col_band, "v")), F.when(on("band_h") & (r >= 0), band(r, row_band, "h"))]
+    return F.array_compact(F.array(F.lit("whole"), *bands, *[F.when(test, name) for name, test in edges.items()]))
+
+
+def merged(parts: F.Column, value_of: dict) -> F.Column:
+    """A property of the strongest part that sets it; null if none does."""
+    values = F.create_map(*[F.lit(x) for pair in value_of.items() for x in pair])
+    return F.try_element_at(F.array_compact(F.transform(parts, lambda p: F.try_element_at(values, p))), F.lit(-1))
+
+
 #: A table style's parts, weakest first; a later part overrides an earlier one.
 PARTS = ["whole", "band_col", "band_row", "first_col", "last_col", "first_row", "last_row", "corner"]
 

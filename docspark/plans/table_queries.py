@@ -57,13 +57,28 @@ def grid_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_widths(spark: SparkSession, d: str) -> DataFrame:
-    cells = grid.placed(_cells(spark, d), "tab", "row", "k", "span").where("span = 1")
-    needs = grid.column_needs(cells, "tab", "col", "least", "most")
-    return grid.column_widths(needs, "tab", "col", 170)
+    return grid.column_widths(_needs(spark, d), "tab", "col", 170)
+
+
+def _needs(spark: SparkSession, d: str) -> DataFrame:
+    return grid.column_needs(grid.placed(_cells(spark, d), "tab", "row", "k", "span"), "tab", "col", "span", ["row", "k"], "least", "most")
+
+
+def grid_fixed_widths(spark: SparkSession, d: str) -> DataFrame:
+    needs = _needs(spark, d).withColumns({"fixed": F.when((F.col("tab") % 2 == 0) & (F.col("col") == 0), 60), "pref": F.when((F.col("tab") % 3 == 0) & (F.col("col") == 3), 25)})
+    return grid.column_widths(needs, "tab", "col", 400, stretch=True).select("tab", "col", "mn", "mx", "width", "x")
 
 
 def grid_width(spark: SparkSession, d: str) -> DataFrame:
-    return grid.grid_width(_cells(spark, d), "tab", "row", "span")
+    cells = _cells(spark, d).withColumn("free", F.col("tab") % 3)
+    return grid.grid_width(cells, "tab", "row", "span", F.col("free"))
+
+
+def cell_parts(spark: SparkSession, d: str) -> DataFrame:
+    row, col = F.col("l_linenumber").cast("int") - 1, (F.col("l_partkey") % 4).cast("int")
+    parts = styles.cell_parts(row, col, F.lit(7), col == 3, row_band=2)
+    shading = {"whole": "white", "band1_v": "grey", "band2_h": "blue", "first_row": "black", "last_col": "red", "se": "green"}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(parts, " ").alias("parts"), styles.merged(parts, shading).alias("shading"))
 
 
 def table_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +108,10 @@ y AS (SELECT *, pow(10, floor(log10((hi1 - lo) / 8))) AS m FROM x), z AS (SELECT
 w AS (SELECT *, floor(lo / step + 1e-9) * step AS a, ceil(hi1 / step - 1e-9) * step AS b0 FROM z)"""
 _CELLS = """cells AS (SELECT tab, row, k, span, m AS least, 3 * m AS most FROM (SELECT DISTINCT l_orderkey % 500 AS tab, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS row, l_partkey, l_suppkey, l_quantity FROM lineitem) q,
   LATERAL (VALUES (0, 1, q.l_partkey::INT % 37 + 10), (1, 2, q.l_suppkey::INT % 11 + 10), (2, 1, q.l_quantity::INT % 23 + 10)) AS v(k, span, m))"""
+_NEEDS = """one AS (SELECT tab, CASE k WHEN 0 THEN 0 ELSE 3 END AS col, max(least) AS mn, max(most) AS mx FROM cells WHERE span = 1 GROUP BY 1, 2),
+two AS (SELECT tab, max(least) // 2 AS mn, max(most) // 2 AS mx FROM cells WHERE span = 2 GROUP BY 1), n AS (SELECT * FROM one UNION ALL SELECT tab, 1, mn, mx FROM two UNION ALL SELECT tab, 2, mn, mx FROM two)"""
 
-QUERIES = {f.__name__: f for f in (chart_percent_stack, chart_stack_bands, chart_axis, chart_trend, chart_pie, nice_steps, grid_columns, grid_widths, grid_width, table_parts, style_inherit, adopt_styles)}
+QUERIES = {f.__name__: f for f in (chart_percent_stack, chart_stack_bands, chart_axis, chart_trend, chart_pie, nice_steps, grid_columns, grid_widths, grid_fixed_widths, grid_width, cell_parts, table_parts, style_inherit, adopt_styles)}
 
 ORACLE = {
     "chart_percent_stack": f"WITH {_P} SELECT chart, ser, idx, v, round(CASE WHEN t > 0 THEN v / t ELSE v END, 6) AS share FROM (SELECT *, sum(abs(v)) OVER (PARTITION BY chart, idx) AS t FROM p)",
@@ -106,11 +123,20 @@ SELECT chart, lo, hi0 AS hi, a, CASE WHEN b0 <= a THEN a + step ELSE b0 END AS b
     "chart_pie": f"WITH {_P}, s AS (SELECT *, sum(v) OVER (PARTITION BY chart, ser) AS t, sum(v) OVER (PARTITION BY chart, ser ORDER BY idx) AS c FROM p WHERE v > 0) SELECT chart, ser, idx, round(v / t, 6) AS share, round(c / t * 360 + 30 - v / t * 360, 6) AS angle_from, round(c / t * 360 + 30, 6) AS angle_to FROM s",
     "nice_steps": f"WITH e AS (SELECT c_custkey, least(c_acctbal, 0) AS lo, greatest(c_acctbal, 0) AS hi0 FROM customer){_NICE} SELECT c_custkey, round(a, 6) AS a, round(CASE WHEN b0 <= a THEN a + step ELSE b0 END, 6) AS b, round(step, 6) AS step FROM w",
     "grid_columns": f"WITH {_CELLS} SELECT tab, row, k, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS col FROM cells",
-    "grid_widths": f"""WITH {_CELLS}, n AS (SELECT tab, CASE k WHEN 0 THEN 0 ELSE 3 END AS col, max(least) AS mn, max(most) AS mx FROM cells WHERE span = 1 GROUP BY 1, 2),
+    "grid_fixed_widths": f"""WITH {_CELLS}, {_NEEDS},
+o AS (SELECT *, CASE WHEN tab % 2 = 0 AND col = 0 THEN 60 WHEN tab % 3 = 0 AND col = 3 THEN greatest(25, mn) END AS own FROM n),
+s AS (SELECT *, 400 - coalesce(sum(own) OVER w, 0) AS rest, sum(mx) FILTER (own IS NULL) OVER w AS smx, sum(mn) FILTER (own IS NULL) OVER w AS smn FROM o WINDOW w AS (PARTITION BY tab)),
+w AS (SELECT tab, col, mn, mx, CASE WHEN own IS NOT NULL THEN own WHEN smx <= rest THEN mx + (rest - smx) * mx // smx WHEN smn >= rest THEN mn ELSE mn + (mx - mn) * (rest - smn) // (smx - smn) END AS width FROM s)
+SELECT *, sum(width) OVER (PARTITION BY tab ORDER BY col) - width AS x FROM w""",
+    "grid_widths": f"""WITH {_CELLS}, {_NEEDS},
 s AS (SELECT *, sum(mn) OVER (PARTITION BY tab) AS smn, sum(mx) OVER (PARTITION BY tab) AS smx FROM n),
 w AS (SELECT tab, col, mn, mx, CASE WHEN smx <= 170 THEN mx WHEN smn >= 170 THEN mn ELSE mn + (mx - mn) * (170 - smn) // (smx - smn) END AS width FROM s)
 SELECT *, sum(width) OVER (PARTITION BY tab ORDER BY col) - width AS x FROM w""",
-    "grid_width": f"WITH {_CELLS} SELECT tab, max(n) AS n_cols FROM (SELECT tab, row, sum(span) AS n FROM cells GROUP BY 1, 2) GROUP BY 1",
+    "grid_width": f"WITH {_CELLS} SELECT tab, max(n) AS n_cols FROM (SELECT tab, row, sum(span) + tab % 3 AS n FROM cells GROUP BY 1, 2) GROUP BY 1",
+    "cell_parts": """WITH c AS (SELECT *, l_linenumber - 1 AS r, l_partkey % 4 AS c FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, list_filter(['whole', CASE WHEN c >= 1 THEN CASE WHEN (c - 1) % 2 = 1 THEN 'band2_v' ELSE 'band1_v' END END, CASE WHEN r >= 1 THEN CASE WHEN (r - 1) // 2 % 2 = 1 THEN 'band2_h' ELSE 'band1_h' END END,
+  CASE WHEN c = 0 THEN 'first_col' END, CASE WHEN c = 3 THEN 'last_col' END, CASE WHEN r = 0 THEN 'first_row' END, CASE WHEN r = 6 THEN 'last_row' END, CASE WHEN r = 0 AND c = 0 THEN 'nw' END, CASE WHEN r = 0 AND c = 3 THEN 'ne' END, CASE WHEN r = 6 AND c = 0 THEN 'sw' END, CASE WHEN r = 6 AND c = 3 THEN 'se' END], lambda x: x IS NOT NULL) AS ps FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(ps, ' ') AS parts, CASE WHEN list_contains(ps, 'se') THEN 'green' WHEN list_contains(ps, 'first_row') THEN 'black' WHEN list_contains(ps, 'last_col') THEN 'red' WHEN list_contains(ps, 'band2_h') THEN 'blue' WHEN list_contains(ps, 'band1_v') THEN 'grey' ELSE 'white' END AS shading FROM p""",
     "table_parts": """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN r IN (0, 6) AND c IN (0, 3) THEN 'corner' WHEN r = 6 THEN 'last_row' WHEN r = 0 THEN 'first_row' WHEN c = 3 THEN 'last_col' WHEN c = 0 THEN 'first_col' WHEN r % 2 = 0 THEN 'band_row' WHEN c % 2 = 0 THEN 'band_col' ELSE 'whole' END AS part
 FROM (SELECT *, l_linenumber - 1 AS r, l_partkey % 4 AS c FROM lineitem)""",
     "style_inherit": """WITH RECURSIVE s AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS font, 10.0::DOUBLE AS size FROM region
