@@ -24,8 +24,9 @@ Trees array<struct<Parent:bigint,Kids:array<bigint>>>, Comments array<struct<Aut
 
 def walk(node: dict, parent: int | None = None, order: int = 0, depth: int = 0) -> Iterator[tuple]:
     """Blocks of a JSON tree, parents first: a node is its kind in a key of its own and
-    its children in another."""
+    its children in another. What lies deeper than 128 is told by one row of kind error."""
     if depth > 128:
+        yield None, "error", parent, order, None, None, None, "nested too deep", None
         return
     for key, body in node.items():
         if key.startswith("_TreeNode_("):
@@ -36,15 +37,22 @@ def walk(node: dict, parent: int | None = None, order: int = 0, depth: int = 0)
 
 
 def json_trees(files: DataFrame, doc: str, content: str) -> DataFrame:
-    """doc and a row for each block of the native JSON format (Document and Stories)."""
+    """doc and a row for each block of the native JSON format (Document and Stories). A
+    null or malformed file is one row of kind error."""
+
+    def blocks(text: str | None) -> list[tuple]:
+        try:
+            top = json.loads(text or "")
+            trees = [top.get("Document", {}), *top.get("Stories", [])]
+            return [r for k, tree in enumerate(trees) for r in walk(tree, None, k)]
+        except (ValueError, AttributeError, TypeError) as e:
+            return [(None, "error", None, 0, None, None, None, str(e), None)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for d, text in zip(f[doc], f[content], strict=True):
-                top = json.loads(text)
-                for k, tree in enumerate([top.get("Document", {}), *top.get("Stories", [])]):
-                    rows += [(d, *r) for r in walk(tree, None, k)]
+                rows += [(d, *r) for r in blocks(text)]
             out = pd.DataFrame(rows, columns=[doc, "id", "kind", "parent", "ord", "role", "level", "style", "text", "runs"])
             for c in ("id", "parent", "ord", "level", "style"):
                 out[c] = out[c].astype("Int64")

@@ -14,6 +14,19 @@ _SHIPPED: set[str] = set()
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in
+    spark.checkpoint.dir. Only on a single machine, where that may be unset, a folder of
+    our own is made and set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
+    if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
+        path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="docspark-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once per application, and bounds the size
     of an Arrow batch."""

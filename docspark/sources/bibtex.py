@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 #: Months as macros, and newer field names with the older ones (fixed values).
 MONTHS = {"jan": "January", "feb": "February", "mar": "March", "apr": "April", "may": "May", "jun": "June", "jul": "July", "aug": "August", "sep": "September", "oct": "October", "nov": "November", "dec": "December"}
 RENAMED = {"journaltitle": "journal", "location": "address"}
-LIMIT = 100_000
 
 _NAME = re.compile(r"[^\s\"#%'(),={}]+")
 
@@ -64,8 +63,7 @@ class _Reader:
                 return re.sub(r"\s+", " ", "".join(parts)).strip()
 
     def entries(self) -> Iterator[tuple[str, str, dict[str, str]]]:
-        n = 0
-        while n < LIMIT and (at := self.text.find("@", self.at)) >= 0:
+        while (at := self.text.find("@", self.at)) >= 0:
             self.at = at + 1
             kind = self.name().lower()
             opened = self.take("{(")
@@ -87,7 +85,6 @@ class _Reader:
                         break
                     fields.setdefault(RENAMED.get(field, field), self.value())
                 self.take(close)
-                n += 1
                 yield kind, key, fields
 
 

@@ -147,6 +147,8 @@ class _Parser:
                     i += 1
                 if depth < 64:
                     self.run(body, quote + 1, depth + 1, dict(item))
+                else:  # nested deeper, the lines are text
+                    self.put("body", "\n".join(body), **more())
                 continue
             elif (m := _ITEM.match(x)) and not (para and (not x[m.end() :].strip() or m[2][0].isdigit() and m[2][:-1] != "1")):
                 flush()
@@ -162,6 +164,8 @@ class _Parser:
                 columns = {"list_level": min(8, item.get("list_level", -1) + 1), "list_kind": "decimal" if m[2][0].isdigit() else "bullet", "task": (2 if task[1] != " " else 1) if task else 0}
                 if depth < 64:
                     self.run(body, quote, depth + 1, columns)
+                else:
+                    self.put("body", "\n".join(body), **more())
                 continue
             elif "|" in x and not para and i + 1 < len(lines) and "-" in lines[i + 1] and _DELIM.match(lines[i + 1]) and len(cells(x)) == len(cells(lines[i + 1])):
                 self.tables += 1

@@ -154,10 +154,10 @@ def docx_bytes(paragraph_texts: list[str]) -> bytes:
 
 
 def write_docx(blocks: DataFrame, key: str, texts: str) -> DataFrame:
-    """key, content: a package from an ordered array of paragraphs."""
+    """key, content: a package from an ordered array of paragraphs; a null array has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({key: f[key], "content": [docx_bytes(list(t)) for t in f[texts]]})
+            yield pd.DataFrame({key: f[key], "content": [docx_bytes([x or "" for x in (t if t is not None else ())]) for t in f[texts]]})
 
     return blocks.select(key, texts).mapInPandas(run, f"{key} {dict(blocks.dtypes)[key]}, content binary")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
+
 UPDATE = "doc long, client string, data string, at timestamp, event_id long"
 
 
@@ -66,7 +68,20 @@ def sessions(updates: DataFrame, gap: str = "30 seconds") -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, and returns what it gave."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is there, and returns what it gave: files in the shared
+    folder, a folder for each micro-batch, which a repeated one writes anew; of a
+    complete result the last batch is all."""
+    path = f"{shared_dir(stream.sparkSession)}/docspark/{name}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")
+        done.append(k)
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    kept = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/batch={k}" for k in kept])
