@@ -45,7 +45,7 @@ ENDINGS = 4096
 #: Common words whose presence beside an ending tells endings apart.
 COMMON = 128
 #: Training texts of each round, in sixteenths of all, its learning rate and batch.
-ROUNDS = ((0, 2, 0.3, 128), (2, 6, 0.2, 256), (6, 16, 0.1, 1024))
+ROUNDS = ((0, 1, 0.3, 128), (1, 4, 0.2, 256), (4, 16, 0.1, 1024))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -225,7 +225,7 @@ def word_counts(train: DataFrame, most: int = 200_000) -> DataFrame:
         yield out()
 
     each = train.select("text").mapInArrow(count, "word binary, ending binary, c long")
-    return each.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
+    return each.groupBy("word", "ending").agg(F.sum("c").alias("c"))  # a word has one ending
 
 
 def vocabulary(counts: DataFrame, hot: int) -> tuple[Vocabulary, np.ndarray]:
@@ -253,7 +253,7 @@ def _summed(rows: DataFrame, parts: int) -> list[np.ndarray]:
     return [got[k] for k in sorted(got)]
 
 
-def classes(heads: DataFrame, vocab: Vocabulary, groups: int, parts: int = 16) -> np.ndarray:
+def classes(heads: DataFrame, vocab: Vocabulary, groups: int, parts: int = 64) -> np.ndarray:
     """The class of each ending: endings that stand in texts with the same common words
     are one class. heads: codes of all training texts."""
     ending, n = vocab.endings_of() // 2, len(vocab.endings) + 1
@@ -339,7 +339,7 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(run, CODED.format(kind=dict(docs.dtypes)["doc_id"]))
 
 
-def trained(model: Model, texts_of: DataFrame, ins: np.ndarray, outs: np.ndarray, noise: np.ndarray, rate: float, batch: int, parts: int = 8) -> Model:
+def trained(model: Model, texts_of: DataFrame, ins: np.ndarray, outs: np.ndarray, noise: np.ndarray, rate: float, batch: int, parts: int = 64) -> Model:
     """One round where the texts lie (codes of training texts): each partition starts
     from model and takes every token of its texts; the mean of the parameters, weighted
     by tokens, is the new model."""
