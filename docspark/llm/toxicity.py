@@ -10,9 +10,11 @@ neighbours are the evidence.
 
 Learning: a bounded sample of labelled rows (``examples`` per class in
 expectation, whole texts, chosen by a hash of the id). Terms are lowered words
-and beginnings of words that one class uses at least ``lift`` times as often as the other, with a
-z-score of ``z``; a text in which no such term occurs has no neighbours, and
-its score is the calibrated one of examples without neighbours. Calibration:
+and beginnings of words that one class uses at least ``lift`` times as often as
+the other, with a z-score of ``z``: with more terms the nearest examples are those
+of like language and subject, whatever their label (README). A text in which no
+such term occurs has no neighbours, and its score is the calibrated one of
+examples without neighbours. Calibration:
 votes of each example over the others, isotonic, weighted to the classes' real
 shares.
 
@@ -145,7 +147,7 @@ class Index:
         return seen[key]
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 2000, terms: int = 4096, lift: float = 3.0, z: float = 7.0, k: int = 15) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, examples: int = 2000, lift: float = 3.0, z: float = 7.0, k: int = 15) -> Index:
     """An index from doc_id, text and doc_id, toxic (rows to learn from only)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     counts = {x.y: x.n for x in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -171,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 2000, terms: int =
     both = (F.col("n0") + F.col("n1")) / (n0 + n1)
     score = F.abs(p1 - p0) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
     bounds = (F.greatest(p0, p1) >= lift * F.least(p0, p1)) & (both < 1) & (score >= z)
-    top = df.where("term is not null").where(bounds).orderBy(F.desc(score), "term").limit(terms).collect()
+    top = df.where("term is not null").where(bounds).collect()  # terms of the examples, so bounded by them
     found = sorted(top, key=lambda x: bytes(x.term))
     idf = np.array([0.0, *(np.log((1 + n0 + n1) / (1 + x.n0 + x.n1)) + 1 for x in found)])  # numbers start at 1
     index = Index({bytes(x.term): i for i, x in enumerate(found, 1)}, idf, k=k)

@@ -1,26 +1,123 @@
-"""The pipeline stage by stage against plain Python."""
+"""The pipeline's stages against plain Python, and near-dedup against all pairs."""
+
+import re
+import struct
+import zlib
+from collections import Counter
 
 import pytest
 from compare import SF
 
 pipeline = pytest.importorskip("corpus_pipeline")
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_lines(docs):
+    """Line dedup of {doc_id: text}."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for three in zip(full, full[1:], full[2:], strict=False):
+            key = tuple(lines[k].strip(" ") for k in three)
+            if key in seen:
+                gone.update(three)
+            seen.add(key)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text
+    return out
+
+
+def plain_near(docs):
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().translate(LOWER).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    up = {i: i for i in docs}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(docs)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+    return {i: docs[i] for i in ids if root(i) == i}
+
+
+def plain_clean(docs, items):
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    windows = set()
+    for t in items:
+        w = WORD.findall(lower(t))
+        windows |= {tuple(w[k : k + 8]) for k in range(len(w) - 7)} if len(w) >= 8 else {tuple(w)} - {()}
+    sizes, out = {len(w) for w in windows}, {}
+    for i, text in docs.items():
+        found = list(WORD.finditer(lower(text)))
+        words, hit = [m[0] for m in found], set()
+        for n in sizes:
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in windows:
+                    hit.add((k, n))
+        cover = sorted({p for k, n in hit for p in range(k, k + n)})
+        if len(cover) > 0.5 * len(words):
+            continue
+        spans = []
+        for k, n in sorted(hit):
+            if spans and spans[-1][1] >= k:
+                spans[-1][1] = max(spans[-1][1], k + n)
+            else:
+                spans.append([k, k + n])
+        kept, done = [], 0
+        for a, b in spans:
+            kept.append(text[done : found[a].start()])
+            done = found[b - 1].end()
+        out[i] = "".join(kept) + text[done:]
+    return out
 
 
 def test_stages_and_run(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, seen = docs.columns, [docs.count()]
+    columns, texts = docs.columns, []
     for k, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, SF)
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         if k < 4:
-            assert docs.columns == columns and docs.count() <= seen[-1]
-            seen.append(docs.count())
-    last = docs.collect()
-    kept = {r.doc_id for r in spark.read.parquet(str(tmp_path / pipeline.STAGES[3][0])).collect()}
-    assert {r.doc_id for r in last} == kept and len(kept) > 0.6 * seen[0]
+            assert docs.columns == columns
+            assert all(r.n_chars == len(r.text or "") for r in docs.collect()) or k == 0
+            texts.append({r.doc_id: r.text or "" for r in docs.collect()})
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    # no document of this table is without a language
+    assert {i: t for i, t in texts[0].items()} == {i: t for i, t in whole.items() if i in texts[0]} and len(texts[0]) > 0.98 * len(whole)
+    assert texts[1] == plain_lines(texts[0])
+    assert texts[2] == plain_near(texts[1])
+    assert texts[3] == plain_clean(texts[2], [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    rows, bpe, by = docs.collect(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == set(texts[3])
+    for i, t in texts[3].items():
+        ids = [*bpe.encode(t, add_special_tokens=False).ids, 2]
+        for r in by[i]:
+            part = ids[r.start : r.start + r.length]
+            assert len(part) == r.length and zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r.ids_crc32
+        assert sum(r.length for r in by[i]) == len(ids)
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024
     again = pipeline.run(spark, SF).collect()
-    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in again) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in last)
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in again) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
 
 
 def test_near_copies_leave_one(spark):
