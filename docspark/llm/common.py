@@ -81,15 +81,16 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def tidy() -> None:
-    """Gives back what earlier tasks of this Python worker left: words that a tokeniser
-    keeps, and free memory that the allocators hold. For the start of a task that has
-    no use for them."""
+def tidy(words: bool = False) -> None:
+    """Gives back what earlier tasks of this Python worker left: free memory that the
+    allocators hold and, but where a task has use for them, words that a tokeniser
+    keeps."""
     import ctypes
     import gc
     import sys
 
-    if tokens := sys.modules.get("docspark.llm.tokens"):
+    tokens = sys.modules.get("docspark.llm.tokens")
+    if tokens and not words:
         tokens.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()

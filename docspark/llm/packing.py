@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .token_store import encoded
 
 Bin = tuple[int, ...]  # lengths, largest first
@@ -243,6 +243,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tidy(words=True)
         part, seen, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), []
         for doc_id, raw in encoded(batches, tokenizer):
             n = len(raw) // 4

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, stored
+from .common import filesystem, stored, tidy
 from .tokens import END_BYTES, encoder
 
 MAGIC = b"DSPLANE1"
@@ -177,6 +177,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, planes: str = "b
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tidy(words=True)
         shard, out, n = TaskContext.get().partitionId(), None, 0
         path = f"{out_dir}/part-{shard:06d}-{uuid.uuid4().hex}.planes"
         for doc_id, raw in encoded(batches, tokenizer):

@@ -35,7 +35,7 @@ class WordEncoder:
     without the end id. At most ``memo`` words of at most ``longest`` characters
     are kept, so memory is bounded."""
 
-    def __init__(self, path: str, memo: int = 800_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 250_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -109,8 +109,9 @@ class WordEncoder:
         spaced = pc.replace_substring(pa.array([texts[i] for i in cut], pa.large_string()), "\n", " \n ")
         split = pc.split_pattern(spaced, " ")
         coded = split.values.dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        bounds = split.offsets.to_numpy()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        del spaced, split, coded
         n = len(words)
         # the first word of a text or line has no space before it
         feed = code == (words.index("\n") if "\n" in words else -1)
@@ -135,14 +136,21 @@ class WordEncoder:
         flat = np.frombuffer(b"".join(ids), "<u4")
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
-        each = size[code]
-        ends = np.cumsum(each)
-        at = np.repeat(start[code] - ends + each, each)
-        at += np.arange(len(at))
-        raw = flat[at].tobytes()
-        ends = np.concatenate([[0], ends])[bounds] * 4
-        for k, i in enumerate(cut):
-            out[i] = raw[ends[k] : ends[k + 1]]
+        # laid out for some texts at a time, so that places take little memory
+        first = 0
+        while first < len(cut):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + 100_000, "right")) - 1)
+            part = code[bounds[first] : bounds[last]]
+            each = size[part]
+            ends = np.cumsum(each)
+            at = np.repeat(start[part] - ends + each, each)
+            at += np.arange(len(at))
+            raw = flat[at].tobytes()
+            cuts = (np.concatenate([[0], ends])[bounds[first : last + 1] - bounds[first]] * 4).tolist()
+            for k in range(first, last):
+                out[cut[k]] = raw[cuts[k - first] : cuts[k - first + 1]]
+            first = last
+        pa.default_memory_pool().release_unused()
         return out
 
 
