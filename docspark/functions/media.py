@@ -17,14 +17,30 @@ def lum_adjusted(rgb: Column, mod: Column, off: Column) -> Column:
     moved by off, both in thousandths of a per cent. Scaling lightness keeps hue and
     saturation, so each channel keeps its place between the least and the greatest."""
     r, g, b = (F.shiftright(rgb, s).bitwiseAND(F.lit(255)) / 255.0 for s in (16, 8, 0))
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    span, light = top - low, (top + low) / 2
-    saturation = F.when(span < 1e-9, 0.0).when(light > 0.5, span / (2 - top - low)).otherwise(span / F.nullif(top + low, F.lit(0.0)))
-    new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), light * mod / 100_000 + off / 100_000))
-    upper = F.when(new < 0.5, new * (1 + saturation)).otherwise(new + saturation - new * saturation)
-    lower = 2 * new - upper
-    channel = lambda c: F.floor(F.when(span < 1e-9, new).otherwise(lower + (upper - lower) * (c - low) / F.nullif(span, F.lit(0.0))) * 255 + 0.5).cast("int")
-    return channel(r) * 65_536 + channel(g) * 256 + channel(b)
+
+    def extremes(c: Column) -> Column:
+        return _let(F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.greatest(c["r"], c["g"], c["b"]).alias("top"), F.least(c["r"], c["g"], c["b"]).alias("low")), moved)
+
+    def moved(c: Column) -> Column:
+        span, light = c["top"] - c["low"], (c["top"] + c["low"]) / 2
+        saturation = F.when(span < 1e-9, 0.0).when(light > 0.5, span / (2 - c["top"] - c["low"])).otherwise(span / F.nullif(c["top"] + c["low"], F.lit(0.0)))
+        new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), light * mod / 100_000 + off / 100_000))
+        return _let(F.struct(span.alias("span"), saturation.alias("sat"), new.alias("new")), lambda m: coloured(c, m))
+
+    def coloured(c: Column, m: Column) -> Column:
+        upper = F.when(m["new"] < 0.5, m["new"] * (1 + m["sat"])).otherwise(m["new"] + m["sat"] - m["new"] * m["sat"])
+        return _let(upper, lambda u: sum((channel(c, m, u, k) * by for k, by in (("g", 256), ("b", 1))), channel(c, m, u, "r") * 65_536))
+
+    def channel(c: Column, m: Column, upper: Column, k: str) -> Column:
+        lower = 2 * m["new"] - upper
+        return F.floor(F.when(m["span"] < 1e-9, m["new"]).otherwise(lower + (upper - lower) * (c[k] - c["low"]) / F.nullif(m["span"], F.lit(0.0))) * 255 + 0.5).cast("int")
+
+    return _let(F.struct(r.alias("r"), g.alias("g"), b.alias("b")), extremes)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _number(content: Column, at: int, n: int, little: bool = False) -> Column:

@@ -113,7 +113,7 @@ def _between(left: str, before: str, c: str, after: tuple[str, ...], spaces: boo
 
 
 def base_direction(text: str) -> int:
-    """0 left to right, 1 right to left, by the first strong character; 2 if both occur."""
+    """1 if all strong characters run right to left, 2 if some do, else 0."""
     kinds = {unicodedata.bidirectional(c) for c in text}
     right, left = kinds & {"R", "AL"}, "L" in kinds
     if right and left:

@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,8 @@ def total_fit(p: Paragraph, width: int, bad=badness, lines: int | None = None) -
     n = len(p.boxes)
     if not n:
         return [], 0
+    if bad is badness and not any(p.joints):
+        return _fit_words(p.boxes, width, lines)
     best: list[dict[tuple[int, int], tuple[int, int, tuple[int, int] | None]]] = [{} for _ in range(n + 1)]
     best[0][2, 0] = (0, -1, None)
     count = lines is not None
@@ -133,6 +137,165 @@ def total_fit(p: Paragraph, width: int, bad=badness, lines: int | None = None) -
     return breaks[::-1], demerits
 
 
+#: Class and demerits of lines of whole words that aren't the last, by line width and
+#: then by natural width and spaces: paragraphs of one width share nearly all.
+_LINES: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+
+
+def _word_line(natural: int, gaps: int, width: int, last: bool) -> tuple[int, int]:
+    if natural <= width:
+        cost = 0 if last else badness(width - natural, gaps * STRETCH)
+        fit = 0 if cost > 99 else 1 if cost > 12 else 2
+    else:
+        cost = badness(natural - width, gaps * SHRINK)
+        fit = 3 if cost > 12 else 2
+    return fit, (LINE + cost) ** 2
+
+
+def _fit_words(boxes: list[int], width: int, lines: int | None) -> tuple[list[int], int]:
+    """total_fit() where only spaces are broken at: widths come from one running sum, and
+    a state is one number, its class and four times its line count."""
+    known = _LINES.setdefault(width, {})
+    if len(known) > 1_000_000:
+        known.clear()
+    n, count = len(boxes), lines is not None
+    at = [0] * (n + 1)
+    for k, w in enumerate(boxes):
+        at[k + 1] = at[k] + w + SPACE
+    best: list[dict[int, tuple[int, int, int]]] = [{2: (0, -1, -1)}]
+    for b in range(1, n + 1):
+        here: dict[int, tuple[int, int, int]] = {}
+        end, last = at[b] - SPACE, b == n
+        for a in range(b - 1, -1, -1):
+            natural, gaps = end - at[a], b - a - 1
+            if natural - gaps * SHRINK > width:
+                break
+            line = _word_line(natural, gaps, width, True) if last else known.get((natural, gaps))
+            if line is None:
+                line = known[natural, gaps] = _word_line(natural, gaps, width, False)
+            fit, d = line
+            for state, (total, _, _) in best[a].items():
+                t = total + d
+                if a and not -2 < (state & 3) - fit < 2:
+                    t += ADJACENT
+                key = fit + (state & ~3) + 4 if count else fit
+                old = here.get(key)
+                if old is None or t < old[0]:
+                    here[key] = (t, a, state)
+        if not here:  # a word wider than the line stands alone
+            for state, (total, _, _) in best[b - 1].items():
+                key = 2 + (state & ~3) + 4 if count else 2
+                if key not in here or total + OVERFULL < here[key][0]:
+                    here[key] = (total + OVERFULL, b - 1, state)
+        best.append(here)
+    pick = min(best[n], key=lambda s: (abs((s >> 2) - lines) if count else 0, best[n][s][0]))
+    total, breaks, b, state = best[n][pick][0], [], n, pick
+    while b > 0:
+        breaks.append(b)
+        _, b, state = best[b][state]
+    return breaks[::-1], total
+
+
+#: Totals from here on are left to whole numbers without a bound.
+_HUGE = 1 << 62
+
+
+@lru_cache(16)
+def _line_tables(width: int) -> tuple[np.ndarray, ...]:
+    """Class and demerits by spaces and natural width, of a line and of a last line;
+    -1 where the line is too long. A word has a character at least."""
+    most = (width + CHAR) // (CHAR + SPACE - SHRINK) + 2
+    size = width + most * SHRINK + 1
+    out = [np.full((most, size), -1, np.int64) for _ in range(4)]
+    for gaps in range(most):
+        for natural in range(width + gaps * SHRINK + 1):
+            for k, last in enumerate((False, True)):
+                out[k][gaps, natural], out[2 + k][gaps, natural] = _word_line(natural, gaps, width, last)
+    return tuple(out)
+
+
+def fit_many(paragraphs: list[np.ndarray], width: int) -> list[tuple[list[int], int, int]]:
+    """Of paragraphs given by their words' widths: breaks and demerits of total_fit(), and
+    the demerits of first fit. The same program word by word for all paragraphs at once,
+    so that a step is a few operations on whole arrays."""
+    fit_t, fit_last, cost_t, cost_last = _line_tables(width)
+    most, size = fit_t.shape
+    order = sorted(range(len(paragraphs)), key=lambda k: -len(paragraphs[k]))
+    out: list[tuple[list[int], int, int]] = [([], 0, 0)] * len(paragraphs)
+    for i in range(0, len(order), 256):
+        part = [k for k in order[i : i + 256] if len(paragraphs[k])]
+        if not part:
+            continue
+        sizes = np.array([len(paragraphs[k]) for k in part])
+        n, rows = int(sizes[0]), len(part)
+        at = np.zeros((rows, n + 1), np.int64)
+        for r, k in enumerate(part):
+            at[r, 1 : sizes[r] + 1] = np.cumsum(paragraphs[k] + SPACE)
+        cost = np.full((n + 1, 4, rows), _HUGE)
+        first = np.full((n + 1, 4, rows), 99, np.int8)  # in which turn a state was found
+        back = np.zeros((n + 1, 4, rows), np.int32)
+        came = np.zeros((n + 1, 4, rows), np.int8)
+        cost[0, 2], first[0, 2] = 0, 0
+        begin, was, greedy = np.zeros(rows, np.int64), np.full(rows, 2), np.zeros(rows, np.int64)
+        for b in range(1, n + 1):
+            m = int(np.searchsorted(-sizes, -b, "right"))  # paragraphs with a word b
+            last, w = sizes[:m] == b, min(b, most)
+            starts = np.arange(b - 1, b - 1 - w, -1)
+            natural = (at[:m, b] - SPACE - at[:m, starts].T).clip(max=size - 1)
+            gaps = (b - 1 - starts)[:, None]
+            fit = np.where(last, fit_last[gaps, natural], fit_t[gaps, natural])
+            own = np.where(last, cost_last[gaps, natural], cost_t[gaps, natural])
+            total, state, turn = np.full(fit.shape, _HUGE), np.zeros(fit.shape, np.int8), np.full(fit.shape, 99, np.int8)
+            apart = np.where(starts > 0, ADJACENT, 0)[:, None]
+            for f in range(4):
+                t = cost[starts, f, :m] + apart * (np.abs(fit - f) > 1)
+                when = first[starts, f, :m]
+                better = (t < total) | ((t == total) & (when < turn))
+                np.copyto(total, t, where=better)
+                np.copyto(turn, when, where=better)
+                state[better] = f
+            total = np.where((fit >= 0) & (total < _HUGE), np.minimum(total + own, _HUGE), _HUGE)
+            each = np.arange(m)
+            for f in range(4):
+                mine = fit == f
+                t = np.where(mine, total, _HUGE)
+                pick = t.argmin(0)
+                cost[b, f, :m], back[b, f, :m], came[b, f, :m] = t[pick, each], starts[pick], state[pick, each]
+                first[b, f, :m] = np.where(mine.any(0), mine.argmax(0), 99)
+            alone = np.flatnonzero(~(fit >= 0).any(0))  # a word wider than the line
+            if len(alone):
+                t, when = cost[b - 1][:, alone], first[b - 1][:, alone]
+                least = t.min(0)
+                pick = np.where(t == least, when, 100).argmin(0)
+                cost[b, 2, alone], back[b, 2, alone], came[b, 2, alone] = np.minimum(least + OVERFULL, _HUGE), b - 1, pick
+                first[b, 2, alone] = 0
+            # first fit: the line ends here if the next word doesn't fit, or there is none
+            more = at[:m, min(b + 1, n)] - SPACE - at[each, begin[:m]]
+            ends = np.flatnonzero(last | (more > width))
+            if len(ends):
+                a = begin[ends]
+                wide, g = at[ends, b] - SPACE - at[ends, a], np.minimum(b - 1 - a, most - 1)
+                x = wide.clip(max=size - 1)
+                f, d = (np.where(last[ends], y[g, x], z[g, x]) for y, z in ((fit_last, fit_t), (cost_last, cost_t)))
+                fits = wide <= width
+                greedy[ends] = np.minimum(greedy[ends] + np.where(fits, d + ADJACENT * ((a > 0) & (np.abs(f - was[ends]) > 1)), OVERFULL), _HUGE)
+                was[ends], begin[ends] = np.where(fits, f, 2), b
+        for r, k in enumerate(part):
+            b = int(sizes[r])
+            t = cost[b, :, r]
+            if t.min() >= _HUGE or greedy[r] >= _HUGE:
+                p = Paragraph(paragraphs[k].tolist(), [False] * (b - 1))
+                out[k] = (*_fit_words(p.boxes, width, None), demerits(p, first_fit(p, width), width))
+                continue
+            f = int(np.where(t == t.min(), first[b, :, r], 100).argmin())
+            breaks, best = [], int(t.min())
+            while b > 0:
+                breaks.append(b)
+                b, f = int(back[b, f, r]), int(came[b, f, r])
+            out[k] = (breaks[::-1], best, int(greedy[r]))
+    return out
+
+
 def first_fit(p: Paragraph, width: int) -> list[int]:
     out, a, n = [], 0, len(p.boxes)
     while a < n:
@@ -187,17 +350,19 @@ def fitted(paras: DataFrame, key: list[str], text: str, width: int, looseness: i
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for t in f[text]:
-                p = Paragraph.of(t or "")
-                breaks, d = total_fit(p, width)
+            boxes = [np.fromiter(map(len, (t or "").split()), np.int64) * CHAR for t in f[text]]
+            for widths, (breaks, d, greedy) in zip(boxes, fit_many(boxes, width), strict=True):
                 if looseness and breaks:
-                    breaks, d = total_fit(p, width, lines=len(breaks) + looseness)
-                rows.append((len(breaks), breaks, d, demerits(p, first_fit(p, width), width)))
+                    breaks, d = _fit_words(widths.tolist(), width, len(breaks) + looseness)
+                rows.append((len(breaks), breaks, d, greedy))
             out = f[key].copy()
             out[["lines", "breaks", "demerits", "greedy_demerits"]] = pd.DataFrame(rows, columns=list("abcd"), index=f.index) if rows else None
             yield out
 
     kinds = dict(paras.dtypes)
+    cores = paras.sparkSession.sparkContext.defaultParallelism
+    if paras.rdd.getNumPartitions() < cores:  # a few small files: one core would do it all
+        paras = paras.repartition(cores)
     schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", lines int, breaks array<int>, demerits long, greedy_demerits long"
     return paras.select(*key, text).mapInPandas(run, schema)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import segment
+from ..functions.text import may_be_rtl
 from ..operators import delta
 from ..streaming import log_stream
 from .common import table
@@ -48,7 +49,7 @@ def line_break_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_direction(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", segment.direction("text").alias("direction"))
+    return table(spark, d, "documents").select("doc_id", segment.direction(F.when(may_be_rtl(F.col("text")), F.col("text"))).alias("direction"))
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
