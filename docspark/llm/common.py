@@ -53,10 +53,33 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """The frame written to the shared folder and read back: cuts the lineage,
     and survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, what)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that stored() has written, in order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def swept(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the folders that were written after made() gave since, but for the one that
+    keep is read from: for a caller that has written what it needs of them."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
+    left = []
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[1] in kept:
+            left.append(path)
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[since:] = left
+
+
 def broadcast_if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Stored rows of a few numbers, marked for broadcast if they are counted to be most
     or fewer (some 50 MB); more are left to a shuffle."""
