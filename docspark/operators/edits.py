@@ -55,3 +55,47 @@ def renumbered(blocks: DataFrame, parent: list[str], order: list[Column]) -> Dat
     from pyspark.sql import Window as W
 
     return blocks.withColumn("ord", F.row_number().over(W.partitionBy(*parent).orderBy(*order)) - 1)
+
+
+def deleted_across(blocks: DataFrame, ranges: DataFrame, parent: str, ord_: str, text: str) -> DataFrame:
+    """A range deleted across the paragraphs of one parent: ranges (parent, first, at, last,
+    to; offsets in bytes). The first paragraph keeps its beginning and its properties and
+    takes the rest of the last; those between and the last go. A range whose last
+    paragraph isn't there changes nothing."""
+    t = F.col(text)
+    tails = blocks.select(parent, F.col(ord_).alias("last"), t.alias("_tail"))
+    found = ranges.join(tails, [parent, "last"])
+    both = blocks.join(found, parent, "left")
+    inside = F.coalesce((F.col(ord_) > F.col("first")) & (F.col(ord_) <= F.col("last")), F.lit(False))
+    joined = F.concat(_bytes(t, F.lit(0), F.col("at")), _bytes(F.col("_tail"), F.col("to")))
+    return both.where(~inside).withColumn(text, F.when(F.col(ord_) == F.col("first"), joined).otherwise(t)).select(*blocks.columns)
+
+
+def _cut(runs: DataFrame, ranges: DataFrame, block: str) -> DataFrame:
+    """Runs cut at both ends of their block's range (from, to), with inside."""
+    both = runs.join(ranges, block, "left")
+    clip = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.col("start")), F.col("start")), F.col("end"))
+    marks = F.array_sort(F.array_distinct(F.array("start", clip("from"), clip("to"), "end")))
+    parts = both.withColumn("_marks", marks).select("*", F.posexplode("_marks").alias("_i", "_s")).where(F.col("_i") < F.size("_marks") - 1)
+    cut = parts.withColumn("_e", F.get("_marks", F.col("_i") + 1)).drop("start", "end").withColumnsRenamed({"_s": "start", "_e": "end"})
+    return cut.withColumn("inside", F.coalesce((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("to")), F.lit(False)))
+
+
+def tracked_delete(runs: DataFrame, ranges: DataFrame, block: str) -> DataFrame:
+    """A deletion while changes are tracked: runs (start, end, kind, author) under ranges
+    (from, to, by), one a block. What its author has put in and nobody has accepted goes
+    outright, what is deleted already stays as it is, all else is marked."""
+    cut = _cut(runs, ranges, block)
+    own = (F.col("kind") == "insert") & (F.col("author") == F.col("by"))
+    left = cut.where(~F.coalesce(F.col("inside") & own, F.lit(False)))
+    marks = F.col("inside") & ~F.coalesce(F.col("kind") == "delete", F.lit(False))
+    return left.withColumns({"kind": F.when(marks, "delete").otherwise(F.col("kind")), "author": F.when(marks, F.col("by")).otherwise(F.col("author"))}).select(*runs.columns)
+
+
+def resolved_range(runs: DataFrame, ranges: DataFrame, block: str) -> DataFrame:
+    """Changes within ranges (from, to, accept) decided: a deletion accepted and an insertion
+    rejected go, all others there lose their mark; outside nothing changes."""
+    cut = _cut(runs, ranges, block)
+    gone = F.col("inside") & F.when(F.col("accept"), F.col("kind") == "delete").otherwise(F.col("kind") == "insert")
+    left = cut.where(~F.coalesce(gone, F.lit(False)))
+    return left.withColumns({c: F.when(~F.col("inside"), F.col(c)) for c in ("kind", "author")}).select(*runs.columns)

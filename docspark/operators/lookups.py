@@ -324,3 +324,13 @@ def bibliography_latex(items: DataFrame, doc: str, order: str, key: str, text: C
     rows = items.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t")))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["t"]), "")
     return rows.select(doc, F.concat(F.lit("\\begin{thebibliography}{"), F.size("r").cast("string"), F.lit("}\n"), body, F.lit("\\end{thebibliography}\n")).alias("latex"))
+
+
+def next_mark(positions: DataFrame, marks: DataFrame, by: str) -> DataFrame:
+    """positions (by, pos) with the marks (by, start) next after and last before them: one
+    sort of both and two windows."""
+    rows = positions.select(by, "pos", F.lit(None).cast("long").alias("start"), F.col("pos").alias("_at")).unionByName(marks.select(by, F.lit(None).cast("long").alias("pos"), F.col("start").cast("long"), F.col("start").alias("_at")))
+    ordered = W.partitionBy(by).orderBy("_at")
+    ahead, behind = ordered.rangeBetween(1, W.unboundedFollowing), ordered.rangeBetween(W.unboundedPreceding, -1)
+    both = rows.withColumns({"next_start": F.min("start").over(ahead), "prev_start": F.max("start").over(behind)})
+    return both.where("pos is not null").select(by, "pos", "next_start", "prev_start")
