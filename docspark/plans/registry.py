@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name to function) and ORACLE (name to SQL).
-FAMILIES = ["text_queries", "number_queries", "log_queries", "table_queries", "layout_queries", "markup_queries", "stream_queries", "office_queries", "lookup_queries", "edit_queries"]
+FAMILIES = ["text_queries", "number_queries", "log_queries", "table_queries", "layout_queries", "markup_queries", "stream_queries", "office_queries", "lookup_queries", "edit_queries", "source_queries"]
 
 
 def _all(what: str) -> dict:
