@@ -95,7 +95,8 @@ def fnv1a(text: Column) -> Column:
 
 def whole_root(v: Column) -> Column:
     """The largest whole number whose square is at most v; 0 for negative v."""
-    near = F.floor(F.sqrt(F.greatest(v, F.lit(0)).cast("double"))).cast("long")
+    v = F.greatest(v, F.lit(0))
+    near = F.floor(F.sqrt(v.cast("double"))).cast("long")
     return F.when(near * near > v, near - 1).when((near + 1) * (near + 1) <= v, near + 1).otherwise(near)
 
 
