@@ -3,8 +3,8 @@
 Every rule is evaluated once. The ledger keeps, for each document, the
 measurements and one bit for each rule that failed. A policy is a version's
 set of rules: a mask. Applying one is a bitwise AND with the ledger, and the
-effect of leaving a rule out is a bitwise aggregation over it; neither reads a
-text again.
+effect of leaving a rule out is a bitwise aggregation over it; over a written
+ledger neither reads a text again.
 
 Defined results: a null or empty text has no words and fails the rule on few
 words; rows with equal or null ids are judged apart; other columns are ignored.
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Rules in bit order: name and when it fails, over the measurements.
 RULES = [
     ("few_words", "n_words < 50"),
@@ -92,6 +94,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("fail_bits", bits)
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """The ledger kept in the shared folder: policies and ablations read its bits from
+    there and evaluate no rule again."""
+    return stored(ledger(docs), "ledger")
+
+
 def mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
@@ -141,3 +149,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 )
+
+ABLATION_SQL = (
+    "WITH l AS ("
+    + SQL
+    + "), r(rule, bit) AS (VALUES "
+    + ", ".join(f"('{name}', {BIT[name]})" for name in POLICIES["full-1"])
+    + """)
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, count(*) FILTER (fail_bits <> 0) AS n_rejected FROM l, r GROUP BY rule"""
+)

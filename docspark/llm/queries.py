@@ -48,9 +48,16 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import applied, ledger
+    from .quality import applied, written
 
-    return applied(ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept")
+    return applied(written(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy alone keeps out, from the ledger's bits."""
+    from .quality import ablations, written
+
+    return ablations(written(table(spark, sf_dir, "documents")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +95,10 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import line_dedup, quality
 
-    return {"op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op5_quality_rules": quality.SQL, "quality_ablations": quality.ABLATION_SQL, "op6_line_dedup": line_dedup.SQL}
