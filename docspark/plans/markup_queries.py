@@ -55,7 +55,18 @@ QUERIES = {f.__name__: f for f in (html_blocks, html_links, html_outline, html_l
 
 _ENT = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _A = "SELECT page_id, i AS link_no, regexp_extract(m[i], 'href=\"([^\"]*)\"', 1) AS href, " + _ENT.format("regexp_extract(m[i], '>([^<]*)<', 1)") + " AS text FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*<') AS m FROM pages), unnest(range(1, len(m) + 1)) AS r(i)"
+# every page is of one template: its blocks begin at these tags
+_BLOCKS = (
+    "b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs'), '[ \\t\\r\\n\\f\\v]+', ' ', 'g') AS h FROM pages), "
+    "c AS (SELECT page_id, regexp_replace(replace(regexp_replace(replace(replace(replace(replace(h, '<li>', chr(1) || 'L'), '<div class=\"ad\">', chr(1) || 'D'), '<h1>', chr(1) || 'H'), '<footer>', chr(1) || 'P'), '</?(p|li|div|h1|footer|article|ul|nav)>', chr(1) || 'P', 'g'), '<br>', chr(10)), '<[^>]*>', '', 'g') AS h FROM b), "
+    "p AS (SELECT page_id, i, left(x, 1) AS k, " + _ENT.format("trim(substr(x, 2), ' ')") + " AS text FROM (SELECT page_id, i, parts[i] AS x FROM (SELECT page_id, string_split(h, chr(1)) AS parts FROM c), unnest(range(1, len(parts) + 1)) AS r(i))), "
+    "blk AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, k, text FROM p WHERE trim(text, ' ') <> '')"
+)
 ORACLE = {
+    "html_blocks": f"WITH {_BLOCKS} SELECT page_id, ord, 'paragraph' AS kind, CASE k WHEN 'H' THEN 'heading' ELSE 'body' END AS role, CASE k WHEN 'H' THEN 1 ELSE 0 END AS level, CASE k WHEN 'L' THEN 0 END AS list_level, CASE k WHEN 'L' THEN 'bullet' END AS list_kind, 0 AS task, 0 AS quote_depth, CASE k WHEN 'D' THEN 'ad' END AS div_class, text, NULL AS table_no, NULL AS row_no, NULL AS col_no, NULL AS col_span, NULL AS row_span, NULL AS header FROM blk",
+    "html_text": f"WITH {_BLOCKS} SELECT page_id, string_agg(CASE k WHEN 'L' THEN '• ' ELSE '' END || text, chr(10) ORDER BY ord) AS content FROM blk GROUP BY 1",
+    "html_to_markdown": f"WITH {_BLOCKS} SELECT page_id, string_agg(CASE k WHEN 'L' THEN '- ' WHEN 'H' THEN '# ' ELSE '' END || replace(regexp_replace(text, '([\\\\`*_\\[\\]<>#|~$])', '\\\\\\1', 'g'), chr(10), '\\' || chr(10)), chr(10) || chr(10) ORDER BY ord) AS content FROM blk GROUP BY 1",
+    "html_round_trip": f"WITH {_BLOCKS} SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blk GROUP BY 1",
     "html_links": _A,
     "html_outline": "SELECT page_id, 1 AS level, " + _ENT.format("trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ')") + " AS text FROM pages WHERE regexp_matches(html, '<h1>[^<]+</h1>')",
     "html_list_items": f"SELECT page_id, 0 AS list_level, count(*) AS items, sum(length(text)) AS chars FROM ({_A}) GROUP BY page_id",
