@@ -50,6 +50,21 @@ def markdown_escaped(text: Column) -> Column:
     return F.regexp_replace(text, "([\\\\`*_\\[\\]<>#|~$])", "\\\\$1")
 
 
+def rtf_escaped(text: Column) -> Column:
+    """Backslashes and braces marked; every UTF-16 unit beyond ASCII as a signed number
+    with a question mark for old readers."""
+    def unit(raw: Column, k: Column) -> Column:
+        n = F.conv(F.substr(raw, 4 * k + 1, F.lit(4)), 16, 10).cast("int")
+        return F.concat(F.lit("\\u"), F.when(n > 32_767, n - 65_536).otherwise(n).cast("string"), F.lit("?"))
+
+    def one(c: Column) -> Column:
+        raw = F.hex(F.encode(c, "UTF-16BE"))
+        wide = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) / 4 - 1, F.lit(0)).cast("int")), lambda k: unit(raw, k)), "")
+        return F.when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).when(F.ascii(c) < 128, c).otherwise(wide)
+
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+
 def latex_escaped(text: Column) -> Column:
     marked = F.regexp_replace(text, "\\\\", "\x01")
     marked = F.regexp_replace(marked, "([#$%&_{}])", "\\\\$1")

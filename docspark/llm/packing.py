@@ -238,7 +238,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
     capacity, the first being what is left over.
 
     Null or empty text: the end id alone. Rows with equal or null ids are each
-    packed. An empty table has no pieces."""
+    packed. Ids may be of any type. An empty table has no pieces."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -261,12 +264,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
             yield batch_of(rows)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names[: 7 + with_ids])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 

@@ -10,7 +10,7 @@ Layout: MAGIC, blocks, footer (zstandard-compressed JSON: planes, block size,
 ``chunks`` as [offset, ids, size of each plane], document ids and counts),
 length of the footer (8 bytes, little endian), MAGIC.
 
-Defined results: a null or empty text is a document of the end id alone; null
+Defined results: ids are whole numbers; a null or empty text is a document of the end id alone; null
 ids sort first; rows with equal ids stay separate documents, ordered by text;
 an empty table gives no file and no row; other columns are ignored.
 """

@@ -20,7 +20,7 @@ shares.
 
 Defined results: null and empty texts have no neighbours; ties among
 neighbours go to the smaller id; several labels of an id count as their
-highest; null labels and ids are not learned from; without labelled rows every
+highest, of several texts of an id the least is learned from; null labels and ids are not learned from; without labelled rows every
 score is 0.
 """
 
@@ -155,8 +155,9 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 2000, lift: float
     if not all(total):
         return Index({}, np.zeros(0))
     chosen = known.where(in_sample(F.col("doc_id"), examples, F.when(F.col("y") == 1, total[1]).otherwise(total[0])))
-    # 2 * examples rows of an id and a class in expectation
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # 2 * examples rows of an id and a class in expectation; of an id that several rows
+    # have, the least text is the example, so the sample stays bounded
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

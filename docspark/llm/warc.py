@@ -11,7 +11,7 @@ Of records with equal payloads one is a response and the others are revisits
 that refer to it; which, is found by an aggregation of digests before any file
 is written.
 
-Defined results: a null payload is an empty one; rows with a null id are
+Defined results: ids are whole numbers; a null payload is an empty one; rows with a null id are
 written but no revisit refers to them unless they are the only choice, and then
 it names no id; of rows with equal ids and payloads one counts as above and the
 others are revisits, those of the least URL first (null URLs last); an empty table

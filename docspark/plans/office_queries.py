@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media
+from ..functions.text import latex_escaped, rtf_escaped
 from ..operators import edits
 from ..sources import office
 from .common import table
@@ -22,14 +23,15 @@ def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rtf_import(spark: SparkSession, d: str) -> DataFrame:
-    plain = lambda t: F.regexp_replace(F.regexp_replace(t, "[^\\x00-\\x7F]", "?"), "([\\\\{}])", "\\\\$1")
-    body = F.array_join(F.transform("texts", lambda t: F.concat(plain(t), F.lit("\\par\n"))), "")
+    body = F.array_join(F.transform("texts", lambda t: F.concat(rtf_escaped(t), F.lit("\\par\n"))), "")
     files = _turns(spark, d).select("conv_id", F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 Times;}}\\f0\\fs24 "), body, F.lit("}")).cast("binary").alias("content"))
     return office.paragraphs(files, "conv_id", "content", "rtf").select("conv_id", "ord", "text")
 
 
 def latex_import(spark: SparkSession, d: str) -> DataFrame:
-    body = F.array_join(F.transform("texts", lambda t: F.concat(F.lit("\\section{"), F.regexp_replace(t, "[^A-Za-z ]", ""), F.lit("}\n"))), "")
+    # all but what LaTeX joins to other characters, or has no escape for
+    text = lambda t: latex_escaped(F.regexp_replace(t, "[\\\\{}^~\"'`\\-]", ""))
+    body = F.array_join(F.transform("texts", lambda t: F.concat(F.lit("\\section{"), text(t), F.lit("}\n"))), "")
     files = _turns(spark, d).select("conv_id", F.concat(F.lit("\\documentclass{article}\n% no\n\\begin{document}\n"), body, F.lit("\\end{document}")).cast("binary").alias("content"))
     return office.paragraphs(files, "conv_id", "content", "latex").select("conv_id", "ord", "role", "level", F.regexp_replace("text", " +", " ").alias("text"))
 
@@ -67,8 +69,8 @@ QUERIES = {f.__name__: f for f in (docx_round_trip, rtf_import, latex_import, ed
 _T = "t AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS ord, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations)"
 ORACLE = {
     "docx_round_trip": f"WITH {_T} SELECT conv_id, ord, 'body' AS role, text FROM t",
-    "rtf_import": f"WITH {_T} SELECT conv_id, ord, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM t",
-    "latex_import": f"WITH {_T}, p AS (SELECT conv_id, ord, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM t) SELECT conv_id, ord, 'heading' AS role, 1 AS level, text FROM p",
+    "rtf_import": f"WITH {_T} SELECT conv_id, ord, text FROM t",
+    "latex_import": f"WITH {_T}, p AS (SELECT conv_id, ord, trim(regexp_replace(regexp_replace(text, '[\\\\{{}}^~\"''`\\-]', '', 'g'), ' +', ' ', 'g')) AS text FROM t) SELECT conv_id, ord, 'heading' AS role, 1 AS level, text FROM p",
     "theme_colours": """WITH p AS (SELECT p_partkey, p_partkey::INT % 16777216 AS c FROM part), h AS (SELECT *, c // 65536 / 255 AS r, c // 256 % 256 / 255 AS g, c % 256 / 255 AS b FROM p),
 s AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM h), z AS (SELECT *, CASE WHEN t - l < 1e-9 THEN 0 WHEN t + l > 1 THEN (t - l) / (2 - t - l) ELSE (t - l) / (t + l) END AS sat FROM s),
 k AS (SELECT p_partkey, c, CASE WHEN t - l < 1e-9 THEN [128, 128, 128] ELSE list_transform([r, g, b], lambda x: floor((0.5 - sat / 2 + sat * (x - l) / (t - l)) * 255 + 0.5)::INT) END AS v FROM z)

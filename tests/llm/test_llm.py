@@ -142,6 +142,8 @@ def test_packing_edges(spark, docs, empty):
     check_packing(rows, 64)
     assert sum(r.piece == 0 for r in rows) == 10 and sum(len(r.ids) for r in rows) == 4 * sum(r.length for r in rows)
     assert packing.pack_documents(empty, BPE).count() == 0
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id for r in packing.pack_documents(named, BPE, 64).collect()} == {None, *(f"d{k}" for k in (0, 1, 2, 3, 4, 5, 7, 8))}
 
 
 def test_local_search_keeps_pieces_and_saves_bins():
