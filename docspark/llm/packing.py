@@ -231,10 +231,11 @@ def places(bins: list[tuple[Bin, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     return {x: tuple(np.asarray(r, np.int64) for r in rows[1:]) for x, rows in out.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 6_000_000) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, part
     and rank (its place among pieces of its length in its partition), with with_ids
-    also the ids. A document longer than the capacity is cut into pieces of just the
+    also the ids. group: characters that are encoded together, which bears on memory
+    and speed alone. A document longer than the capacity is cut into pieces of just the
     capacity, the first being what is left over.
 
     Null or empty text: the end id alone. Rows with equal or null ids are each
@@ -248,7 +249,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
 
         tidy(words=True)
         part, seen, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), []
-        for doc_id, raw in encoded(batches, tokenizer):
+        for doc_id, raw in encoded(batches, tokenizer, group):
             n = len(raw) // 4
             at, k = 0, 0
             while at < n:
@@ -303,7 +304,7 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return cut.join(before, ["length", "part"]).select(*fields, "before").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 6_000_000) -> DataFrame:
     """pieces() and pack(): every piece with its sequence_id, its offset there and,
     with with_ids, its ids."""
-    return pack(stored(pieces(docs, tokenizer, capacity, with_ids), "pieces"), capacity).drop("part", "rank")
+    return pack(stored(pieces(docs, tokenizer, capacity, with_ids, group), "pieces"), capacity).drop("part", "rank")
