@@ -43,6 +43,11 @@ def loose_lines(spark: SparkSession, d: str) -> DataFrame:
     return breaking.fitted(table(spark, d, "conversations"), ["conv_id", "turn"], "text", 400, looseness=1)
 
 
+def fit_demerits(spark: SparkSession, d: str) -> DataFrame:
+    """The least demerits of each paragraph, which its SQL finds by the same program."""
+    return breaking.fitted(table(spark, d, "conversations"), ["conv_id", "turn"], "text", 400).select("conv_id", "turn", "demerits")
+
+
 #: Patterns of a few syllables, as letters and the digits around them.
 PATTERNS = [("th", [0, 0, 0]), ("on", [1, 0, 0]), ("er", [0, 0, 1]), ("an", [0, 2, 1]), (".th", [0, 0, 0, 2]), ("nt", [0, 3, 0]), ("he", [0, 0, 1]), ("in.", [2, 0, 0, 0])]
 
@@ -87,7 +92,7 @@ _CHARS = """t AS (SELECT conv_id AS page, turn, j - 1 AS j, text[j] AS c FROM co
 ch AS (SELECT page, turn * 1000000 + j AS idx, turn, j // 80 AS row, j % 80 AS k, ascii(c) AS cp, CASE WHEN turn = 0 THEN 10.0 ELSE 8.0 END AS size FROM t WHERE c <> ' '),
 ln AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY turn, row) AS line_no, min(k) * 6.0 AS x0, turn * 400.0 + row * 11.0 AS y0, max(k) * 6.0 + 6 AS x1, turn * 400.0 + row * 11.0 + max(size) AS y1, max(size) AS size, count(*) AS n, arg_min(cp, idx) AS first_cp, turn FROM ch GROUP BY page, turn, row)"""
 
-QUERIES = {f.__name__: f for f in (pdf_lines, pdf_blocks, first_fit_lines, knuth_plass_lines, loose_lines, hyphen_points, bib_sort, bib_entries, crossref_inherit)}
+QUERIES = {f.__name__: f for f in (pdf_lines, pdf_blocks, first_fit_lines, knuth_plass_lines, loose_lines, fit_demerits, hyphen_points, bib_sort, bib_entries, crossref_inherit)}
 
 ORACLE = {
     "pdf_lines": f"WITH {_CHARS} SELECT page, line_no, x0, y0, x1, y1, size, n, first_cp FROM ln",
@@ -98,6 +103,16 @@ SELECT page, block_no, x0, y0, x1, y1, size, lines, CASE WHEN lines < 2 OR l <=
 s AS (SELECT conv_id, turn, ws, 1 AS i, length(ws[1]) * 10 AS x, 0 AS line FROM w WHERE len(ws) > 0
   UNION ALL SELECT conv_id, turn, ws, i + 1, CASE WHEN x + 10 + length(ws[i + 1]) * 10 <= 400 THEN x + 10 + length(ws[i + 1]) * 10 ELSE length(ws[i + 1]) * 10 END, CASE WHEN x + 10 + length(ws[i + 1]) * 10 <= 400 THEN line ELSE line + 1 END FROM s WHERE i < len(ws))
 SELECT conv_id, turn, line, min(i) - 1 AS first_word FROM s GROUP BY conv_id, turn, line""",
+    "fit_demerits": """WITH RECURSIVE w AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: length(x) * 10) AS ws FROM conversations),
+s AS (SELECT conv_id, turn, list_transform(range(0, len(ws) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE list_sum(ws[1:i]) + 10 * i END::BIGINT) AS pre, len(ws) AS n, 0::BIGINT AS b, [[NULL, NULL, 0::HUGEINT, NULL]] AS best FROM w
+UNION ALL SELECT conv_id, turn, pre, n, b + 1, list_concat(best[-23:], [CASE WHEN len(e) = 0 THEN [NULL, NULL, list_min(best[-1]) + 1125899906842624, NULL]
+    ELSE list_transform([0, 1, 2, 3], lambda g: list_min(list_transform(list_filter(e, lambda c: c.fit = g), lambda c: c.t))) END])
+  FROM (SELECT conv_id, turn, pre, n, b, best, list_transform(f, lambda c: {'fit': c.fit, 't': (10 + c.cost) * (10 + c.cost) + list_min(list_transform([0, 1, 2, 3], lambda g: c.pv[g + 1] + CASE WHEN c.a > 0 AND abs(g - c.fit) > 1 THEN 10000 ELSE 0 END))}) AS e
+    FROM (SELECT conv_id, turn, pre, n, b, best, list_transform(k, lambda c: {'a': c.a, 'pv': c.pv, 'cost': c.cost, 'fit': CASE WHEN c.nat > 400 THEN CASE WHEN c.cost > 12 THEN 3 ELSE 2 END WHEN c.cost > 99 THEN 0 WHEN c.cost > 12 THEN 1 ELSE 2 END}) AS f
+      FROM (SELECT conv_id, turn, pre, n, b, best, list_transform(list_filter(list_transform(range(1, least(24, b + 1) + 1), lambda w: {'w': w, 'a': b + 1 - w, 'nat': pre[b + 2] - 10 - pre[b + 2 - w], 'pv': best[len(best) + 1 - w]}), lambda c: c.nat - 3 * (c.w - 1) <= 400),
+          lambda c: {'a': c.a, 'pv': c.pv, 'nat': c.nat, 'cost': CASE WHEN c.nat = 400 OR (c.nat < 400 AND b + 1 = n) THEN 0::HUGEINT WHEN c.w = 1 THEN 1000000000::HUGEINT
+            ELSE least(1000000000::HUGEINT, least(100000, abs(400 - c.nat) * 1000 // ((c.w - 1) * CASE WHEN c.nat < 400 THEN 5 ELSE 3 END))::HUGEINT * least(100000, abs(400 - c.nat) * 1000 // ((c.w - 1) * CASE WHEN c.nat < 400 THEN 5 ELSE 3 END)) * least(100000, abs(400 - c.nat) * 1000 // ((c.w - 1) * CASE WHEN c.nat < 400 THEN 5 ELSE 3 END)) // 10000000) END}) AS k FROM s WHERE b < n))))
+SELECT conv_id, turn, list_min(best[-1]) AS demerits FROM s WHERE b = n""",
     "hyphen_points": f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM conversations) WHERE length(word) BETWEEN 5 AND 250),
 p(letters, digits) AS (VALUES {", ".join(f"('{a}', {b})" for a, b in PATTERNS)}),
 m AS (SELECT word, i + k - 3 AS p, max(digits[k]) AS d FROM w, p, unnest(range(1, length(word) + 3)) AS a(i), unnest(range(1, 5)) AS b(k)
