@@ -6,8 +6,8 @@ and read again; all but the last return the columns of documents.
    letter, or of whose n-grams no language has a fifth, go.
 2. Line dedup removes later occurrences of repeated three-line windows.
 3. Near-dedup on five-word shingles keeps the document with the least id of each
-   group. Pairs of Jaccard similarity PERCENT or more are linked, no others; SimHash
-   doesn't reach that far (docspark/llm/jaccard.py says what stands in for it).
+   group. Candidates come from SimHash; of them, pairs of Jaccard similarity PERCENT or
+   more are linked, no others (docspark/llm/jaccard.py).
 4. Decontamination removes spans that match a benchmark window, and documents
    that are mostly such spans.
 5. Best-fit packing gives every piece its sequence and offset.

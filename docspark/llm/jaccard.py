@@ -1,21 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, each link checked on
-whole sets.
-
-SimHash can't reach a similarity of 0.8: such pairs differ in about ten of 64 bits,
-and covering masks for ten bits are 2047 tables. So candidates come from minima of
-``ROWS * BANDS`` hashes of a set: sets that agree in all minima of a band share a
-key. A pair of similarity 0.8 shares none of the 40 keys of 5 minima with a
-probability of 1.3e-7 (0.672 ** 40), one of 0.9 with 1e-15; this is the only miss.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash,
+each link checked on whole sets.
 
 1. Equal sets are one node from the start, so copies make no pairs.
-2. Of each key, every set is verified against the least: pairs grow as the sets do.
-   What that links is one label.
-3. In keys that still have several labels, sets of different labels are compared by
-   sketches (``SKETCH`` minima, two bits of each) in blocks of about ``BLOCK`` sets
-   a side. Only pairs whose sketches allow the similarity by five standard errors
-   are emitted, and verified. A key's work is spread over tasks; it is quadratic in
-   its sets of different labels that agree in five minima and yet aren't similar to
-   the least.
+2. Every set has a SimHash of 256 bits; pairs near each other are found by the tables
+   of simhash.py, which tell the share of pairs of the similarity that they may miss.
+3. Candidates are verified by whole sets; what they link is one label. Where a table
+   has very many pairs of a set, those but the nearest wait, unless it is the first:
+   of the sets concerned, pairs of different labels are then told by SimHashes of
+   2048 bits and verified too. That is quadratic in sets that are near and yet not
+   linked.
 
 Defined results: null and empty texts have one set, the empty one; fewer words than
 a shingle make one shingle. Rows are decided one by one: of linked rows the one with
@@ -34,10 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, broadcast_if_small, fresh, removed, stored, texts, tidy
 from .graph import connected_components
+from .simhash import NARROW, WIDE, near_pairs, of_sets
+from .simhash import mixed as _mixed
 
-ROWS, BANDS = 5, 40
-SKETCH = 1024
-BLOCK = 1024
 #: Bytes whose words are hashed at once.
 CHUNK = 1 << 19
 
@@ -46,9 +38,6 @@ _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: What makes a hash another one: an exclusive or, then an odd factor.
-_XOR = _RNG.integers(0, 1 << 64, ROWS * BANDS + SKETCH, np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, ROWS * BANDS + SKETCH, np.uint64) | np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
 
@@ -60,11 +49,6 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
-
-
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of lowered bytes begins, and its 64-bit hash: a polynomial over
     its bytes, told by running sums, and mixed."""
@@ -109,127 +93,30 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def minima(sets: list[np.ndarray], first: int, last: int, at_once: int = 1 << 16) -> np.ndarray:
-    """The least of hash functions first to last - 1 over each set; the empty set has
-    the highest number."""
-    out = np.full((len(sets), last - first), np.uint64(2**64 - 1))
-    i = 0
-    while i < len(sets):
-        j, n = i, 0
-        while j < len(sets) and (j == i or n + len(sets[j]) <= at_once):
-            n += len(sets[j])
-            j += 1
-        full = [k for k in range(i, j) if len(sets[k])]
-        if full:
-            h = np.concatenate([sets[k] for k in full])
-            starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
-            for f in range(first, last):
-                out[full, f - first] = np.minimum.reduceat((h ^ _XOR[f]) * _ODD[f], starts)
-        i = j
-    return out
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """Each set's keys, one of each band."""
-    least = minima(sets, 0, ROWS * BANDS).reshape(len(sets), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), least.shape[:2])
-    for k in range(ROWS):
-        keys = _mixed(keys + least[:, :, k])
-    return keys.view(np.int64)
-
-
 def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row, node (a digest of the row's set), keys (none of an empty set)."""
+    """doc_id, row, node (a digest of the row's set), print (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            sets = shingles(texts(batch.column(2)), shingle)
-            nodes = [hashlib.md5(distinct(h).tobytes()).digest() for h in sets]
-            own = [k if len(h) else [] for k, h in zip(band_keys(sets), sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "row", "node", "keys"])
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node binary, keys array<long>")
-
+            sets = [distinct(h) for h in shingles(texts(batch.column(2)), shingle)]
+            nodes = [hashlib.md5(h.tobytes()).digest() for h in sets]
+            prints = [x.tobytes() if len(h) else None for x, h in zip(of_sets(sets, NARROW), sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "row", "node", "print"])
 
-_LOW = np.uint64(0x5555555555555555)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node binary, print binary")
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """row, n (its set's size), sketch: two bits of each minimum, 32 to a word, and keys."""
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """row, print (of WIDE words; it begins with the narrow one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        place = np.arange(32, dtype=np.uint64) * np.uint64(2)
         for batch in batches:
-            sets = shingles(texts(batch.column(1)), shingle)
-            least = minima(sets, ROWS * BANDS, ROWS * BANDS + SKETCH) >> np.uint64(40)
-            words = ((least & np.uint64(3)).reshape(len(sets), -1, 32) << place).sum(2, dtype=np.uint64)
-            raw = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (words, band_keys(sets))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(distinct(h)) for h in sets], pa.int32()), *raw], ["row", "n", "sketch", "keys"])
-
-    return docs.select("row", "text").mapInArrow(run, "row long, n int, sketch binary, keys binary")
-
-
-def _near(key: int, label: np.ndarray, row: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray, keys: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a block that may be as similar as percent: of different labels, of
-    different sides if there are two, and with no earlier band's key in common than this
-    one, so that each pair is told once."""
-    p = percent / 100
-    agree = p + (1 - p) / 4
-    most = SKETCH * (1 - agree) + 5 * np.sqrt(SKETCH * agree * (1 - agree))  # differing places
-    names, size = np.unique(label, return_counts=True)
-    # the sets of the commonest label needn't be compared among themselves
-    turn = label == names[size.argmax()]
-    order = np.argsort(turn, kind="stable")
-    label, row, n, side, sketch, keys = (x[order] for x in (label, row, n, side, sketch, keys))
-    two = (side != side[0]).any()
-    for k in range(int((~turn).sum())):
-        rest = slice(k + 1, None)
-        ok = (label[rest] != label[k]) & (np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k]))
-        if two:
-            ok &= side[rest] != side[k]
-        at = np.flatnonzero(ok) + k + 1
-        if len(at):
-            x = sketch[at] ^ sketch[k]
-            at = at[np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(1, dtype=np.int64) <= most]
-            same = keys[at] == keys[k]
-            at = at[keys[k][same.argmax(1)] == key]
-            if len(at):
-                yield np.minimum(row[at], row[k]), np.maximum(row[at], row[k])
-
-
-def _blocks(percent: int):
-    """Rows (key, i, j, side, row, label, n, sketch, keys) sorted by key, i, j to pairs (a, b)."""
+            sets = [distinct(h) for h in shingles(texts(batch.column(1)), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in of_sets(sets, WIDE)], pa.binary())], ["row", "print"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(block: pa.Table) -> Iterator[pa.RecordBatch]:
-            if block.num_rows > 1:
-                side, row, label, n = (block.column(c).to_numpy() for c in ("side", "row", "label", "n"))
-                sketch, keys = (np.frombuffer(b"".join(block.column(c).to_pylist()), t).reshape(len(row), -1) for c, t in (("sketch", np.uint64), ("keys", np.int64)))
-                found = list(_near(block.column("key")[0].as_py(), label, row, n.astype(np.int64), side, sketch, keys, percent))
-                if found:
-                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                name = tuple(keys[a].tolist())
-                if name != now and held:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                now = name
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-
-    return run
+    return docs.select("row", "text").mapInArrow(run, "row long, print binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -261,46 +148,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return found
 
 
-def links(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """docs (row, text) and stored members (row, keys), sets all different, to edges
+def links(docs: DataFrame, members: DataFrame, shingle: int, percent: int, region: int) -> DataFrame:
+    """docs (row, text) and stored members (row, print), sets all different, to edges
     (a, b) that connect what pairs of percent similarity connect."""
-    each = members.select("row", F.explode("keys").alias("key"))
-    least = each.groupBy("key").agg(F.min("row").alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c")
-    shared = stored(each.join(least, "key"), "shared")
-    stars = stored(shared.where("row <> c").select(F.col("c").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    first = _verified(stars, docs, shingle, percent)
-    removed(stars)
-
+    n = members.count()
+    found = stored(near_pairs(members.withColumn("label", F.col("row")), NARROW, percent, n, region), "near")
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = stored(found.select(*ends).distinct(), "pairs")
+    first = _verified(pairs, docs, shingle, percent)
+    removed(pairs)
+
+    rows = stored(found.where("later").select(F.col("a").alias("row")).distinct(), "rows")
+    removed(found)
+    if rows.isEmpty():
+        removed(rows)
+        return first
     roots = connected_components(first)
-    labelled = stored(shared.join(roots, shared.row == roots.node, "left").select("key", "row", F.coalesce("root", "row").alias("label")), "labelled")
-    removed(shared)
-    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    left = stored(labelled.join(several.select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "key"), "unresolved")
-    removed(labelled)
-    rows = stored(left.select("row").distinct(), "rows")
-    sketches = stored(_sketches(docs.join(broadcast_if_small(rows), "row", "left_semi"), shingle), "sketches")
-    side = F.pmod(F.xxhash64("row"), F.col("parts"))
-    dealt = left.select("key", "row", "label", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    blocks = dealt.join(sketches, "row").select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "row", "label", "n", "sketch", "keys")
-    compared = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
-    pairs = stored(compared, "pairs")
+    prints = _wide(docs.join(broadcast_if_small(rows), "row", "left_semi"), shingle)
+    labelled = stored(prints.join(roots, prints.row == roots.node, "left").select("row", "print", F.coalesce("root", "row").alias("label")), "labelled")
+    # the tables are those that the pairs were found in
+    pairs = stored(near_pairs(labelled, WIDE, percent, n, region).select(*ends).distinct(), "pairs")
     out = stored(first.unionByName(_verified(pairs, docs, shingle, percent)), "links")
-    for x in (left, rows, sketches, pairs):
+    for x in (rows, labelled, pairs):
         removed(x)
     return out
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int = 16_384) -> DataFrame:
     """The documents without those that are linked to an earlier one, in the order of
-    doc_id. All columns are kept."""
+    doc_id. All columns are kept. region: about how many sets are compared in one place."""
     number = fresh(docs.columns, "_row")[0]
     whole = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     own = whole.select("doc_id", F.col(number).alias("row"), "text")
     keyed = stored(_keyed(own, shingle), "keyed")
     rows = keyed.select("node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("r"))
     nodes = stored(rows.groupBy("node").agg(F.min("r").alias("r")).select(F.col("r.row").alias("row"), "r"), "nodes")
-    members = stored(keyed.select("row", "keys").join(nodes.select("row"), "row", "left_semi"), "members")
-    edges = links(own, members, shingle, percent)
+    members = stored(keyed.where("print is not null").select("row", "print").join(nodes.select("row"), "row", "left_semi"), "members")
+    edges = links(own, members, shingle, percent, region)
     removed(members)
     roots = connected_components(edges)
     named = nodes.join(roots, nodes.row == roots.node, "left").select(F.coalesce("root", "row").alias("root"), "r")

@@ -173,3 +173,30 @@ def test_near_copies_are_decided_by_row(spark):
     got = sorted((str(r.doc_id), r.text) for r in pipeline.near_duplicates(spark, d, SF).collect() if r.text)
     assert got == [("1", t), ("2", "all other words stand in here"), ("3", "twice the same id and text"), ("None", "no id but the same text")]
     assert pipeline.near_duplicates(spark, d, SF).count() == 5
+
+
+def test_near_copies_come_from_simhash(spark, monkeypatch):
+    """Its tables find all similar pairs, also when they have several keys, larger ones
+    come in parts and rows wait; without it only equal sets are found."""
+    import random
+
+    from docspark.llm import jaccard, simhash
+
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        first = [f"w{rng.randint(0, 999)}" for _ in range(rng.randint(20, 200))]
+        for k in range(40 if g == 0 else 3):
+            w = list(first)
+            for _ in range(rng.randint(0, len(w) // 40 + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 9999)}"
+            rows.append((g * 100 + k, " ".join(w)))
+    rows += [(10_000 + k, f"all the other texts are few words {k % 7}") for k in range(9)]
+    rng.shuffle(rows)
+    want = sorted(plain_near(dict(rows)))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for region in (16_384, 8):
+        assert sorted(r.doc_id for r in jaccard.deduplicated(d, 5, 80, region).collect()) == want
+    monkeypatch.setattr(jaccard, "near_pairs", lambda prints, *_: simhash.near_pairs(prints, *_).where("false"))
+    equal = {frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows}
+    assert pipeline.near_duplicates(spark, d, SF).count() == len(equal) > len(want)
