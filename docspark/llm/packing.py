@@ -231,7 +231,7 @@ def places(bins: list[tuple[Bin, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     return {x: tuple(np.asarray(r, np.int64) for r in rows[1:]) for x, rows in out.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 6_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 1_500_000) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, part
     and rank (its place among pieces of its length in its partition), with with_ids
     also the ids. group: characters that are encoded together, which bears on memory
@@ -304,7 +304,7 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return cut.join(before, ["length", "part"]).select(*fields, "before").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 6_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, group: int = 1_500_000) -> DataFrame:
     """pieces() and pack(): every piece with its sequence_id, its offset there and,
     with with_ids, its ids."""
     return pack(stored(pieces(docs, tokenizer, capacity, with_ids, group), "pieces"), capacity).drop("part", "rank")

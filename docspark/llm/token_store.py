@@ -145,7 +145,7 @@ class PlaneReader:
         return np.frombuffer(raw, "<u4")[start - first * block : stop - first * block]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, group: int = 6_000_000) -> Iterator[tuple]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, group: int = 1_500_000) -> Iterator[tuple]:
     """(doc_id, ids with the end id as bytes) of batches with columns doc_id and text,
     encoded in groups of about ``group`` characters."""
     enc = encoder(path)

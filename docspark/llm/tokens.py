@@ -4,8 +4,9 @@ The pre-tokeniser of this family never lets a token run over the place before
 a single space or line feed that stands between characters which aren't white
 space, nor over the place after such a line feed. So a text may be cut there
 and its words encoded apart. Words repeat: most come from a bounded memo, the
-others go to the library together, one to a line. The ids are the library's
-own for the whole text, which the tests compare.
+others go to the library together, one to a line, or if they are Latin letters
+alone, which are one piece, straight to its model. The ids are the library's own
+for the whole text, which the tests compare.
 """
 
 from __future__ import annotations
@@ -47,12 +48,41 @@ class WordEncoder:
         self.feed = self._whole(["\n"])[0]
         self.marks = {x: self._whole([x])[0] for x in ",.;:!?"}
         self.lines = len(self.feed) == 4  # the cuts need a line feed that is one id
+        self.model = self.tokenizer.model
+        self.letters = self._letters()
+
+    def _letters(self) -> dict[int, str] | None:
+        """What the pre-tokeniser makes of a space and of each Latin letter; nothing if it
+        cuts between them or the text is changed before."""
+        split = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is not None or split is None:
+            return None
+        every = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        out = {ord(c): "".join(x for x, _ in split.pre_tokenize_str(c)) for c in [" ", *every]}
+        for space in ("", " "):
+            text = space + "".join(every)
+            if [x for x, _ in split.pre_tokenize_str(text)] != [text.translate(out)]:
+                return None
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], space: str, group: int = 512) -> dict[str, bytes]:
         """The ids of words without white space, each after ``space``."""
+        if self.letters is not None:
+            out, rest = {}, []
+            before, tokenize, letters = space.translate(self.letters), self.model.tokenize, self.letters
+            for w in words:
+                if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                    whole = before + (w if w.isascii() else w.translate(letters))
+                    out[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(whole)])
+                else:
+                    rest.append(w)
+            return out | self._by_lines(rest, space, group)
+        return self._by_lines(words, space, group)
+
+    def _by_lines(self, words: list[str], space: str, group: int) -> dict[str, bytes]:
         if not self.lines:
             return dict(zip(words, self._whole([space + w for w in words]), strict=True))
         out: dict[str, bytes] = {}
@@ -121,9 +151,10 @@ class WordEncoder:
         firsts = np.unique(code[head])
         inner = np.flatnonzero(np.bincount(code[~head & ~feed], minlength=n))
         ids = [b""] * n
-        leave = self._fill(self.inner, {words[k] for k in inner.tolist() if words[k] not in self.inner}, " ")
-        for k in inner.tolist():
-            ids[k] = self.inner[words[k]]
+        within = [words[k] for k in inner.tolist()]
+        leave = self._fill(self.inner, {w for w in within if w not in self.inner}, " ")
+        for k, x in zip(inner.tolist(), map(self.inner.__getitem__, within), strict=True):
+            ids[k] = x
         if feed.any():
             ids[int(code[feed][0])] = self.feed
         leave_heads = self._fill(self.heads, {words[k] for k in firsts.tolist() if words[k] not in self.heads}, "")

@@ -600,3 +600,43 @@ def test_toxicity_edges(spark, docs, empty):
     none = toxicity.learn(d, labels.limit(0))
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
     assert toxicity.scored(empty, index).count() == 0
+
+
+def test_words_of_letters_go_to_the_model():
+    import random
+
+    import public_tokenizers
+
+    enc = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, letters = random.Random(3), [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(500)]
+    texts = [" ".join(words), "\n".join(words), "don't we'll it's x2 2x ﬁn naïve Ⅷ ʔa ﬀ. été, ªº"]
+    assert enc.encode(texts) == enc._whole(texts)
+    sent = []
+    whole = enc._whole
+    enc._whole = lambda texts: sent.extend(texts) or whole(texts)
+    enc.encode([" ".join(w + "q" for w in words)])
+    assert not sent  # no letter word takes the way through the pre-tokeniser
+    enc.letters = None
+    assert enc.encode([" ".join(w + "z" for w in words)]) == whole([" ".join(w + "z" for w in words)])
+
+
+def test_few_characters_are_encoded_at_once(monkeypatch):
+    import inspect
+
+    import pyarrow as pa
+
+    from docspark.llm import packing, token_store
+
+    seen = []
+
+    class Count:
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return [b"" for _ in texts]
+
+    monkeypatch.setattr(token_store, "encoder", lambda path: Count())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["x" * 8000] * 1000})
+    assert len(list(token_store.encoded([batch], ""))) == 1000
+    assert sum(seen) == 8_000_000 and max(seen) <= 1_500_000 + 8000
+    assert inspect.signature(packing.pieces).parameters["group"].default <= 1_500_000
