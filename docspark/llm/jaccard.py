@@ -4,11 +4,12 @@ each link checked on whole sets.
 1. Equal sets are one node from the start, so copies make no pairs.
 2. Every set has a SimHash of 256 bits; pairs near each other are found by the tables
    of simhash.py, which tell the share of pairs of the similarity that they may miss.
-3. Candidates are verified by whole sets; what they link is one label. Where a table
-   has very many pairs of a set, those but the nearest wait, unless it is the first:
-   of the sets concerned, pairs of different labels are then told by SimHashes of
-   2048 bits and verified too. That is quadratic in sets that are near and yet not
-   linked.
+3. Candidates are verified by whole sets. Where a table has many pairs of a set, they
+   aren't told one by one: a forest tells what they connect. The sets of each part of
+   it come to one place (a large part's to a place for every two of its pieces), are
+   compared there, and what is similar gives a forest again. So pairs make no more rows
+   than a multiple of the sets. Comparisons in a place grow with the square of a part;
+   beyond two pieces its sets are copied, once a piece.
 
 Defined results: null and empty texts have one set, the empty one; fewer words than
 a shingle make one shingle. Rows are decided one by one: of linked rows the one with
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_small, fresh, removed, stored, texts, tidy
+from .common import LOWER, broadcast_if_small, fresh, removed, spread, stored, texts, tidy
 from .graph import connected_components
-from .simhash import NARROW, WIDE, near_pairs, of_sets
+from .simhash import by_key, columns_of, in_parts, later, merged, near_pairs, of_sets
 from .simhash import mixed as _mixed
 
 #: Bytes whose words are hashed at once.
 CHUNK = 1 << 19
+#: Shingles of a piece of a part of near sets, and of sets that are looked up at once.
+PIECE, AT_ONCE = 1 << 22, 1 << 20
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -94,29 +97,72 @@ def distinct(h: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row, node (a digest of the row's set), print (null for an empty set)."""
+    """doc_id, row, node (a digest of the row's set), its size, print (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
             sets = [distinct(h) for h in shingles(texts(batch.column(2)), shingle)]
             nodes = [hashlib.md5(h.tobytes()).digest() for h in sets]
-            prints = [x.tobytes() if len(h) else None for x, h in zip(of_sets(sets, NARROW), sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "row", "node", "print"])
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node binary, print binary")
-
-
-def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """row, print (of WIDE words; it begins with the narrow one)."""
+            sizes = [len(h) for h in sets]
+            prints = [x.tobytes() if len(h) else None for x, h in zip(of_sets(sets), sets, strict=True)]
+            own = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["doc_id", "row", "node", "size", "print"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node binary, size long, print binary")
+
+
+def _similar(percent: int):
+    """A block of rows (root, i, j, side, row, size, print, hashes) to edges (a, b), as few
+    as connect what its similar pairs connect."""
+
+    def edges(block: pa.Table) -> pa.RecordBatch:
+        row, side, size, prints = columns_of(block)
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes")])
+        names = np.unique(flat)
+        ids = np.concatenate([np.searchsorted(names, flat[i : i + AT_ONCE]).astype(np.int32) for i in range(0, len(flat), AT_ONCE)])
+        del flat
+        starts = np.cumsum(size) - size
+        label, mine = np.arange(len(row)), np.zeros(len(names), bool)
+        a, b = [], []
+        for k, near in later(prints, size, label, side, 0, percent):
+            mine[ids[starts[k] : starts[k] + size[k]]] = True
+            upto = np.cumsum(size[near])
+            for some in np.split(near, np.searchsorted(upto, np.arange(AT_ONCE, upto[-1], AT_ONCE))):
+                if not len(some):
+                    continue
+                sizes = size[some]
+                first = np.cumsum(sizes) - sizes
+                at = np.arange(sizes.sum()) + np.repeat(starts[some] - first, sizes)
+                both = np.add.reduceat(mine[ids[at]], first, dtype=np.int64)
+                some = merged(label, k, some[both * 100 >= percent * (size[k] + sizes - both)])
+                a += [k] * len(some)
+                b += some.tolist()
+            mine[ids[starts[k] : starts[k] + size[k]]] = False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.RecordBatch.from_pydict({"a": row[a], "b": row[b]})
+
+    return by_key(edges)
+
+
+def _within(docs: DataFrame, roots: DataFrame, shingle: int, percent: int, region: int) -> DataFrame:
+    """docs (row, text) and stored (node, root) of rows with words to edges (a, b) that
+    connect what similar pairs of one root connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            sets = [distinct(h) for h in shingles(texts(batch.column(1)), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in of_sets(sets, WIDE)], pa.binary())], ["row", "print"])
-
-    return docs.select("row", "text").mapInArrow(run, "row long, print binary")
+            sets = [distinct(h) for h in shingles(texts(batch.column(2)), shingle)]
+            own = [pa.array([len(h) for h in sets], pa.int64()), pa.array([x.tobytes() for x in of_sets(sets)], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["root", "row", "size", "print", "hashes"])
+
+    own = docs.join(broadcast_if_small(roots), docs.row == roots.node).select("root", "row", "text")
+    sets = stored(own.mapInArrow(run, "root long, row long, size long, print binary, hashes binary"), "sets")
+    pieces = F.greatest(F.ceil(F.count("*") / region), F.ceil(F.sum("size") / PIECE)).alias("parts")
+    parts = stored(sets.groupBy("root").agg(pieces).where("parts > 2"), "large")
+    found = stored(in_parts(sets, "root", parts, spread(docs)).mapInArrow(_similar(percent), "a long, b long"), "links")
+    removed(sets)
+    return found
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -149,28 +195,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 
 def links(docs: DataFrame, members: DataFrame, shingle: int, percent: int, region: int) -> DataFrame:
-    """docs (row, text) and stored members (row, print), sets all different, to edges
-    (a, b) that connect what pairs of percent similarity connect."""
-    n = members.count()
-    found = stored(near_pairs(members.withColumn("label", F.col("row")), NARROW, percent, n, region), "near")
-    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    pairs = stored(found.select(*ends).distinct(), "pairs")
-    first = _verified(pairs, docs, shingle, percent)
+    """docs (row, text) and stored members (row, size, print), sets all different, to
+    edges (a, b) that connect what pairs of percent similarity connect."""
+    found = stored(near_pairs(members, percent, members.count(), region), "near")
+    pairs = stored(found.where("not later").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    out = _verified(pairs, docs, shingle, percent)
     removed(pairs)
-
-    rows = stored(found.where("later").select(F.col("a").alias("row")).distinct(), "rows")
+    roots = connected_components(found.where("later"))
     removed(found)
-    if rows.isEmpty():
-        removed(rows)
-        return first
-    roots = connected_components(first)
-    prints = _wide(docs.join(broadcast_if_small(rows), "row", "left_semi"), shingle)
-    labelled = stored(prints.join(roots, prints.row == roots.node, "left").select("row", "print", F.coalesce("root", "row").alias("label")), "labelled")
-    # the tables are those that the pairs were found in
-    pairs = stored(near_pairs(labelled, WIDE, percent, n, region).select(*ends).distinct(), "pairs")
-    out = stored(first.unionByName(_verified(pairs, docs, shingle, percent)), "links")
-    for x in (rows, labelled, pairs):
-        removed(x)
+    if not roots.isEmpty():
+        out = out.unionByName(_within(docs, roots, shingle, percent, region))
     return out
 
 
@@ -183,7 +217,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, region: i
     keyed = stored(_keyed(own, shingle), "keyed")
     rows = keyed.select("node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("r"))
     nodes = stored(rows.groupBy("node").agg(F.min("r").alias("r")).select(F.col("r.row").alias("row"), "r"), "nodes")
-    members = stored(keyed.where("print is not null").select("row", "print").join(nodes.select("row"), "row", "left_semi"), "members")
+    members = stored(keyed.where("print is not null").select("row", "size", "print").join(nodes.select("row"), "row", "left_semi"), "members")
     edges = links(own, members, shingle, percent, region)
     removed(members)
     roots = connected_components(edges)

@@ -14,11 +14,11 @@ node from the start, so copies make no pairs.
 
 Sets of a Jaccard similarity (near_pairs) lie further apart than tables for every
 set of differing bits can reach: those of 0.8 differ in 15 of 100 bits, whatever the
-width. Their fingerprints have 256 bits or more, and a table's key is a sample of
-them. A table has about as many keys as keep ``region`` fingerprints under each, and
-there are as many tables as leave MISS of the pairs at the similarity without a
-common key. Under a key all fingerprints are compared; a larger key's in parts, each
-with each.
+width. Their fingerprints have 256 bits, and a table's key is a sample of them. A
+table has about as many keys as keep ``region`` fingerprints under each, and there are
+as many tables as leave MISS of the pairs at the similarity without a common key. Under
+a key all fingerprints are compared; a larger key's in parts, each with each. Pairs of
+which there are many for a row aren't told: what they connect is, by a forest.
 
 Defined results: a text without words (null, empty) has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle; rows with
@@ -29,7 +29,7 @@ component its name unless it has no other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +41,13 @@ from .graph import connected_components
 
 ONES = (1 << 64) - 1
 
-#: Words of 64 bits of fingerprints of sets; the wide ones begin with the narrow ones.
-NARROW, WIDE = 4, 32
+#: Words of 64 bits of fingerprints of sets.
+WORDS = 4
 #: Share of pairs at the similarity that have no key in common.
 MISS = 1e-5
-#: Near fingerprints that a set may have in a key before they wait.
+#: Near fingerprints of a set in a key that are told one by one.
 FEW = 16
-_SEEDS = np.random.default_rng(20).integers(0, 1 << 64, WIDE, np.uint64)
+_SEEDS = np.random.default_rng(20).integers(0, 1 << 64, WORDS, np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 3, chunk: int = 1 << 16) -> int:
@@ -211,13 +211,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def of_sets(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """The fingerprints, of so many words, of sets of 64-bit hashes."""
-    out = np.zeros((len(sets), words * 8), np.uint8)
+def of_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of sets of 64-bit hashes."""
+    out = np.zeros((len(sets), WORDS * 8), np.uint8)
     for k, h in enumerate(sets):
-        over = np.zeros(words * 64, np.int64)
+        over = np.zeros(WORDS * 64, np.int64)
         for i in range(0, len(h), 255):  # what a byte can count
-            bits = np.unpackbits(mixed(h[i : i + 255, None] + _SEEDS[:words]).view(np.uint8), axis=1)
+            bits = np.unpackbits(mixed(h[i : i + 255, None] + _SEEDS).view(np.uint8), axis=1)
             over += bits.sum(axis=0, dtype=np.uint8)
         out[k] = np.packbits(2 * over > len(h))
     return out.view(np.uint64)
@@ -234,24 +234,25 @@ def sampled_tables(n: int, percent: int, region: int) -> np.ndarray:
     if not size:
         return np.zeros((1, 0), np.int64)
     tables = math.ceil(math.log(MISS) / math.log1p(-((1 - differing(percent)) ** size)))
-    each = NARROW * 64 // size
+    each = WORDS * 64 // size
     rng = np.random.default_rng(21)
-    turns = [rng.permutation(NARROW * 64)[: each * size].reshape(each, size) for _ in range(-(-tables // each))]
+    turns = [rng.permutation(WORDS * 64)[: each * size].reshape(each, size) for _ in range(-(-tables // each))]
     return np.concatenate(turns)[:tables]
 
 
-def _later(prints: np.ndarray, label: np.ndarray, side: np.ndarray, word: int, share: float, at_once: int = 8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def later(prints: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, word: int, percent: int, at_once: int = 8) -> Iterator[tuple[int, np.ndarray]]:
     """Of each fingerprint the later ones of other labels (and, if there are two, of the
-    other side) in which no more bits differ than a pair of this share of differing bits
-    may have, and how many differ: within five standard deviations in two words, and six
-    in all words, of wide prints five."""
+    other side) whose sets' sizes allow the similarity and in which no more bits differ
+    than a pair of it may have: within five standard deviations in two words, and six in
+    all words. The caller may merge labels on the way."""
+    share = differing(percent)
     deviation = math.sqrt(share * (1 - share))
-    bits = prints.shape[1] * 64
-    within, radius = 128 * share + 5 * math.sqrt(128) * deviation, bits * share + (5 if bits == WIDE * 64 else 6) * math.sqrt(bits) * deviation
+    bits = WORDS * 64
+    within, radius = 128 * share + 5 * math.sqrt(128) * deviation, bits * share + 6 * math.sqrt(bits) * deviation
     n, two = len(prints), (side != side[0]).any()
     width = n + -n % 8
     pair = [np.zeros(width, np.uint64) for _ in range(2)]
-    pair[0][:n], pair[1][:n] = prints[:, word], prints[:, (word + 1) % NARROW]
+    pair[0][:n], pair[1][:n] = prints[:, word], prints[:, (word + 1) % WORDS]
     room, counts = np.empty(at_once * width, np.uint64), np.empty((2, at_once * width), np.uint8)
     for a in range(0, n, at_once):
         left, last = a - a % 8, min(a + at_once, n)
@@ -268,44 +269,35 @@ def _later(prints: np.ndarray, label: np.ndarray, side: np.ndarray, word: int, s
         i, j = i + a, j + left
         ok = (i < j) & (j < n)
         i, j = i[ok], j[ok]
-        ok = label[i] != label[j]
+        ok = (label[i] != label[j]) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent)
         if two:
             ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
-        far = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64)
-        ok = far <= radius
-        i, j, far = i[ok], j[ok], far[ok]
+        ok = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= radius
+        i, j = i[ok], j[ok]
         if len(i):
             starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-            yield from zip(i[starts].tolist(), np.split(j, starts[1:]), np.split(far, starts[1:]), strict=True)
+            for k, found in zip(i[starts].tolist(), np.split(j, starts[1:]), strict=True):
+                found = found[label[found] != label[k]]
+                if len(found):
+                    yield k, found
 
 
-def _compared(words: int, share: float, all_now: bool):
-    """Rows (key, i, j, side, row, label, print), sorted by key, i, j and row, to pairs
-    (a, b, later). A row that no earlier one is near to leads, and has all its pairs told.
-    Of a row that is led, more than FEW wait, unless all are wanted now: then all rows of
-    such pairs are told by later, and the nearest of each."""
+def merged(label: np.ndarray, k: int, near: np.ndarray) -> np.ndarray:
+    """Gives k and those near it one label; one of near for each label that this joins
+    to k's."""
+    names, first = np.unique(label[near], return_index=True)
+    other = names != label[k]
+    names, first = names[other], first[other]
+    if len(names):
+        all_ = np.append(names, label[k])
+        label[np.isin(label, all_)] = all_.min()
+    return near[first]
 
-    def pairs(block: pa.Table) -> pa.RecordBatch:
-        row, label, side = (block.column(c).to_numpy() for c in ("row", "label", "side"))
-        prints = np.frombuffer(b"".join(block.column("print").to_pylist()), np.uint64).reshape(-1, words)
-        word = (block.column("key")[0].as_py() >> 40) % NARROW
-        led, waits = np.zeros(len(row), bool), np.zeros(len(row), bool)
-        nearest = np.full(len(row), 1 << 62)  # how many bits differ, and from which
-        a, b = [], []
-        for k, near, far in _later(prints, label, side, word, share):
-            nearest[near] = np.minimum(nearest[near], (far << 32) + k)
-            nearest[k] = min(nearest[k], ((far << 32) + near).min())
-            if led[k] and len(near) > FEW and not all_now:
-                waits[near] = waits[k] = True
-            else:
-                a.append(np.full(len(near), k))
-                b.append(near)
-            led[near] = True
-        late = np.flatnonzero(waits)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([*a, late], [*b, nearest[late] & 0xFFFFFFFF]))
-        later = np.arange(len(a)) >= len(a) - len(late)
-        return pa.RecordBatch.from_pydict({"a": row[a], "b": row[b], "later": later})
+
+def by_key(make) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by their first three columns, of numbers, to what make gives for the
+    table of each of these keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,39 +310,82 @@ def _compared(words: int, share: float, all_now: bool):
             for a, b in zip(cuts, cuts[1:], strict=False):
                 name = tuple(keys[a].tolist())
                 if name != now and held:
-                    yield pairs(pa.Table.from_batches(held))
+                    yield make(pa.Table.from_batches(held))
                     held = []
                 now = name
                 held.append(batch.slice(a, b - a))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield make(pa.Table.from_batches(held))
 
     return run
 
 
-def near_pairs(prints: DataFrame, words: int, percent: int, n: int, region: int = 16_384) -> DataFrame:
-    """row, print (of so many words, as bytes), label to pairs (a, b, later) of different
-    labels that may have the similarity, by the tables for n rows. Pairs may be told
-    several times. Of narrow prints, later marks rows a that have pairs yet untold, all
-    of them with rows marked too."""
+def in_parts(rows: DataFrame, key: str, parts: DataFrame, count: int) -> DataFrame:
+    """Rows of key, row and more, in so many partitions, as blocks (key, i, j) with a
+    column side, sorted by key, i, j and row. Stored parts names the large keys and into
+    how many parts they go: a block has one of them, or two, each to be compared with the
+    other."""
+    rest = [c for c in rows.columns if c != key]
+    sized = rows.join(broadcast_if_small(parts), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    sided = sized.withColumn("side", F.pmod(F.xxhash64("row"), F.col("parts")))
+    blocks = sided.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = blocks.select(key, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *rest)
+    return blocks.repartition(count, key, "i", "j").sortWithinPartitions(key, "i", "j", "row")
+
+
+def columns_of(block: pa.Table) -> tuple[np.ndarray, ...]:
+    """row, side, size and print of a block."""
+    prints = np.frombuffer(b"".join(block.column("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+    return *(block.column(c).to_numpy() for c in ("row", "side", "size")), prints
+
+
+def _compared(percent: int, masks: np.ndarray):
+    """A block of rows (key, i, j, side, row, size, print) to pairs (a, b, later), each in
+    the first table that has it. A row that more than FEW are near to isn't told with
+    them: pairs marked later connect it to them, as few as do."""
+
+    def pairs(block: pa.Table) -> pa.RecordBatch:
+        row, side, size, prints = columns_of(block)
+        table = block.column("key")[0].as_py() >> 40
+        part = np.arange(len(row))
+        a, b, later_ = [], [], []
+        for k, near in later(prints, size, part, side, table % WORDS, percent):
+            if table:
+                near = near[((prints[near] ^ prints[k])[:, None] & masks[:table]).any(axis=2).all(axis=1)]
+            waits = len(near) > FEW
+            near = merged(part, k, near) if waits else near
+            a += [k] * len(near)
+            b += near.tolist()
+            later_ += [waits] * len(near)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.RecordBatch.from_pydict({"a": row[a], "b": row[b], "later": pa.array(later_, pa.bool_())})
+
+    return by_key(pairs)
+
+
+def near_pairs(prints: DataFrame, percent: int, n: int, region: int = 16_384) -> DataFrame:
+    """row, print (as bytes), size (of its set) to pairs (a, b, later) that may have the
+    similarity, by the tables for n rows. Pairs marked later stand for more: every pair
+    that isn't told is of two rows that they connect. There are at most FEW + 1 pairs a
+    row and key."""
     tables = sampled_tables(n, percent, region)
     weights = 1 << np.arange(tables.shape[1], dtype=np.int64)
+    masks = np.zeros((len(tables), WORDS * 64), np.uint8)
+    for t, at in enumerate(tables):
+        masks[t, at] = 1
+    masks = np.packbits(masks, axis=1).view(np.uint64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                bits = np.unpackbits(raw[:, : NARROW * 8], axis=1)
+                bits = np.unpackbits(raw, axis=1)
                 for t, at in enumerate(tables):
                     key = pa.array((t << 40) + bits[:, at].astype(np.int64) @ weights)
-                    yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", "row", "label", "print"])
+                    yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", "row", "size", "print"])
 
-    dealt = prints.select("row", "label", "print").mapInArrow(keys, "key long, row long, label long, print binary")
+    dealt = prints.select("row", "size", "print").mapInArrow(keys, "key long, row long, size long, print binary")
     # a key's rows in parts of a region or less; at most so many keys as regions
-    large = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * region).select("key", F.ceil(F.col("n") / region).alias("parts")), "large")
-    sized = dealt.join(broadcast_if_small(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    side = F.pmod(F.xxhash64("row"), F.col("parts"))
-    blocks = sized.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = blocks.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "row", "label", "print")
-    sorted_ = blocks.repartition(max(spread(prints), min(10_000, len(tables) << tables.shape[1] >> 1)), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
-    return sorted_.mapInArrow(_compared(words, differing(percent), words == WIDE), "a long, b long, later boolean")
+    parts = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * region).select("key", F.ceil(F.col("n") / region).alias("parts")), "large")
+    blocks = in_parts(dealt, "key", parts, max(spread(prints), min(10_000, len(tables) << tables.shape[1] >> 1)))
+    return blocks.mapInArrow(_compared(percent, masks), "a long, b long, later boolean")

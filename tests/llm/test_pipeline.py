@@ -200,3 +200,35 @@ def test_near_copies_come_from_simhash(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "near_pairs", lambda prints, *_: simhash.near_pairs(prints, *_).where("false"))
     equal = {frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows}
     assert pipeline.near_duplicates(spark, d, SF).count() == len(equal) > len(want)
+
+
+def test_near_texts_that_are_not_linked_make_few_rows(spark, monkeypatch):
+    """A group of 300 texts, each like each other by 0.75, and near copies of some: the rows
+    made are a multiple of the texts, not of their pairs, and all links are found, also
+    where the group comes in pieces."""
+    import random
+
+    from docspark.llm import jaccard
+
+    rng = random.Random(3)
+    core = [f"c{k}" for k in range(150)]
+    rows = [(k, " ".join([*core, *(f"t{k}x{i}" for i in range(25))])) for k in range(300)]
+    rows += [(1000 + k, f"{t} one{k} two{k} more{k}") for k, t in rng.sample(rows, 20)]
+    rows += [(2000 + k, f"{t} on") for k, t in rng.sample(rows, 20)]
+    rng.shuffle(rows)
+    want = sorted(plain_near(dict(rows)))
+    assert 300 <= len(want) < len(rows)
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near_pairs, made = jaccard.near_pairs, []
+
+    def counted(*given):
+        found = jaccard.stored(near_pairs(*given), "found")
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "near_pairs", counted)
+    assert sorted(r.doc_id for r in jaccard.deduplicated(d, 5, 80).collect()) == want
+    assert sum(made) <= 17 * len(rows)
+    monkeypatch.setattr(jaccard, "PIECE", 10_000)
+    for region in (16_384, 50):
+        assert sorted(r.doc_id for r in jaccard.deduplicated(d, 5, 80, region).collect()) == want
