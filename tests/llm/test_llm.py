@@ -640,3 +640,31 @@ def test_few_characters_are_encoded_at_once(monkeypatch):
     assert len(list(token_store.encoded([batch], ""))) == 1000
     assert sum(seen) == 8_000_000 and max(seen) <= 1_500_000 + 8000
     assert inspect.signature(packing.pieces).parameters["group"].default <= 1_500_000
+
+
+def test_words_are_encoded_once():
+    enc = WordEncoder(BPE)
+    asked = []
+    words_of = enc._words
+    enc._words = lambda words, *more: asked.append(len(words)) or words_of(words, *more)
+    text = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(300_000))
+    first = enc.encode([text])
+    assert enc.encode([text]) == first
+    assert sum(asked) == 300_000
+
+
+def test_marks_after_letters_are_a_piece_of_their_own():
+    enc = WordEncoder(BPE)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abéÀōz", k=rng.randint(1, 9)))
+    words = [word() + "".join(rng.choices(marks, k=rng.randint(1, 5))) for _ in range(3000)]
+    words += [word() + rng.choice(["'s", "'ll.", "1!", "—", "!a", "-b-"]) for _ in range(300)]
+    rng.shuffle(words)
+    texts = [" ".join(words), "\n".join(words), *words[:100]]
+    assert enc.encode(texts) == enc._whole(texts)
+    sent = []
+    whole = enc._whole
+    enc._whole = lambda texts: sent.extend(texts) or whole(texts)
+    enc.encode([" ".join(w + "q" + m for w, m in zip(("xy" * 30, "é" * 9), (",###", "..."), strict=True))])
+    assert not any("q" in x for x in sent)  # the letters are not sent with their marks
