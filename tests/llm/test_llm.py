@@ -668,3 +668,17 @@ def test_marks_after_letters_are_a_piece_of_their_own():
     enc._whole = lambda texts: sent.extend(texts) or whole(texts)
     enc.encode([" ".join(w + "q" + m for w, m in zip(("xy" * 30, "é" * 9), (",###", "..."), strict=True))])
     assert not any("q" in x for x in sent)  # the letters are not sent with their marks
+
+
+def test_op3_encodes_each_word_once(monkeypatch):
+    import pyarrow as pa
+
+    enc, sent = WordEncoder(BPE), []
+    words_of, rng = enc._words, random.Random(7)
+    enc._words = lambda words, *more: sent.append(len(words)) or words_of(words, *more)
+    monkeypatch.setattr(token_store, "encoder", lambda path: enc)
+    known = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(2000)]
+    rows = ["x " + " ".join(w + rng.choice(["", ",", ".", ";", "...", "!?", "###"]) for w in rng.sample(known, 2000)) for _ in range(20)]
+    got = [raw for _, raw in token_store.encoded([pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": rows})], BPE, group=20_000)]
+    assert got == [x + token_store.END_BYTES for x in enc._whole(rows)]
+    assert sum(sent) == len(set(known)) + 1 + 6  # with the first word and six sorts of marks
