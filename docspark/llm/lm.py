@@ -25,17 +25,17 @@ null id is not learned from; other columns are ignored; ids may be of any type.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, texts
+from .common import LOWER, stored
 
 END = b"\n"
 MARKS = b".,;:!?"
@@ -53,6 +53,29 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What tokens() gives of each text, by Arrow: distinct words, the place of every word
+    of the texts among them, and where each text's words begin, and the last one's end. A
+    word that no text has may be among the distinct ones, but only the empty one."""
+    # copied, as ascii_lower takes wrong bytes from a cast part of a longer column
+    own = column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()).fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
+    bounds, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    empty = pc.index(words, "").as_py()  # what stands before or after the white space at an edge
+    if empty >= 0:
+        full = at != empty
+        at, bounds = at[full], np.concatenate([[0], np.cumsum(full)])[bounds]
+    return words, at, bounds
+
+
+def bare(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The endings of words, without the marks behind, and whether there are any."""
+    short = pc.ascii_rtrim(words, MARKS.decode())
+    marked = pc.not_equal(pc.binary_length(short), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+    return pc.binary_slice(short.cast(pa.large_binary()), -3), marked
+
+
 @dataclass
 class Vocabulary:
     """hot: words by number, the end being 0. A word beyond them has the code
@@ -147,11 +170,11 @@ class Model:
         shift = np.log(k * noise + 1e-20).astype(np.float32)
         for i in range(0, len(y), batch):
             xs, ys = x[i : i + batch], y[i : i + batch]
-            vecs = self.r[xs]
+            vecs = self.r.take(xs, axis=0)
             ctx = np.einsum("bod,od->bd", vecs, self.w)
             drawn = rng.multinomial(k, noise)
             at = np.flatnonzero(drawn)
-            q, qy, scale = self.q[at], self.q[ys], np.float32(1 / np.sqrt(len(ys)))
+            q, qy, scale = self.q[at], self.q.take(ys, axis=0), np.float32(1 / np.sqrt(len(ys)))
             # how likely each noise word, and each word that stands there, is data and not noise
             g = _likely(ctx @ q.T + (self.b[at] - shift[at])) * (drawn[at] * scale).astype(np.float32)
             own = (_likely(np.einsum("bd,bd->b", ctx, qy) + self.b[ys] - shift[ys]) - 1) * scale
@@ -199,30 +222,33 @@ def _likely(x: np.ndarray) -> np.ndarray:
 
 def _by_row(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers in at, and the sums of their rows of v."""
+    if len(at) and at.max() < 1 << 16:
+        at = at.astype(np.uint16)  # numbers of 16 bits are sorted by radix
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(v[order], first)
+    return at[first].astype(np.int64), np.add.reduceat(v.take(order, axis=0), first)
 
 
-def word_counts(train: DataFrame, most: int = 200_000) -> DataFrame:
+def word_counts(train: DataFrame, size: int = 12 << 20) -> DataFrame:
     """word, ending and c, the number of times that it stands in the texts. A task
-    combines its counts; it holds about ``most`` words at once."""
+    combines the counts of about ``size`` bytes of texts at once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([w.rstrip(MARKS)[-3:] for w in words], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "ending", "c"])
+        def out(texts: list[pa.Array]) -> pa.RecordBatch:
+            words, at, _ = distinct(pa.concat_arrays(texts))
+            c = np.bincount(at, minlength=len(words))
+            words = words.filter(pa.array(c > 0))
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), bare(words)[0].cast(pa.binary()), pa.array(c[c > 0], pa.int64())], ["word", "ending", "c"])
 
+        held: list[pa.Array] = []
         for batch in batches:
-            for t in texts(batch.column(0)):
-                seen.update(tokens(t))
-                if len(seen) > most:
-                    yield out()
-                    seen.clear()
-        yield out()
+            held.append(batch.column(0))
+            if sum(x.nbytes for x in held) >= size:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
 
     each = train.select("text").mapInArrow(count, "word binary, ending binary, c long")
     return each.groupBy("word", "ending").agg(F.sum("c").alias("c"))  # a word has one ending
@@ -311,30 +337,36 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         vocab, z = shared.value, zstandard.ZstdCompressor(level=1)
-        size, get = len(vocab.hot), vocab.hot.get
+        size, hot, endings = len(vocab.hot), pa.array(vocab.hot, pa.large_binary()), pa.array(vocab.endings, pa.large_binary())
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0)
-            head, rare = [], []
-            for text, train in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = tokens(text)
-                codes = list(map(get, words))
-                if None in codes:
-                    far = Counter(w for w, c in zip(words, codes, strict=True) if c is None)
-                    own = {w: size + vocab.ending(w) for w in far}
-                    codes = [own[w] if c is None else c for w, c in zip(words, codes, strict=True)]
-                    rare += [(row, train, n, w) for w, n in far.items()]
-                codes = np.array([*codes, 0], np.int64)
-                head.append((row, train, len(codes), _packed(codes, z)))
-                row += 1
-            if head:
-                r, t, n, c = zip(*head, strict=True)
-                k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(r, pa.int64()), ids, pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary()), pa.array(c, pa.binary())], names)
-            for i in range(0, len(rare), 100_000):
-                r, t, n, w = zip(*rare[i : i + 100_000], strict=True)
-                k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(r, pa.int64()), pa.nulls(k, ids.type), pa.array(t, pa.bool_()), pa.array(n, pa.int64()), pa.array(w, pa.binary()), pa.nulls(k, pa.binary())], names)
+            ids, train, k = batch.column(0), batch.column(2), batch.num_rows
+            if not k:
+                continue
+            words, at, bounds = distinct(batch.column(1))
+            # the table of hashes is of the batch's words, which are fewer than the hot ones
+            found = pc.index_in(hot, value_set=words.cast(pa.large_binary()))
+            code = np.full(len(words), -1, np.int64)
+            code[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            far = np.flatnonzero(code < 0)
+            ending, marked = bare(words.take(pa.array(far)))
+            code[far] = size + 2 * pc.index_in(ending, value_set=endings).fill_null(len(endings)).to_numpy() + marked
+            each = code[at]
+            ends = bounds[1:] + np.arange(k)
+            codes, word = np.zeros(len(each) + k, np.int64), np.ones(len(each) + k, bool)
+            word[ends] = False
+            codes[word] = each
+            packed = [_packed(x, z) for x in np.split(codes, ends[:-1] + 1)]
+            n = pa.array(np.diff(bounds) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(row + np.arange(k)), ids, train, n, pa.nulls(k, pa.binary()), pa.array(packed, pa.binary())], names)
+            beyond = np.flatnonzero(each >= size)
+            text = np.searchsorted(bounds, beyond, "right") - 1
+            pair, times = np.unique(text * len(words) + at[beyond], return_counts=True)
+            for i in range(0, len(pair), 100_000):
+                text, of = np.divmod(pair[i : i + 100_000], len(words))
+                m = len(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(row + text), pa.nulls(m, ids.type), train.take(pa.array(text)), pa.array(times[i : i + m]), words.take(pa.array(of)).cast(pa.binary()), pa.nulls(m, pa.binary())], names)
+            row += k
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(run, CODED.format(kind=dict(docs.dtypes)["doc_id"]))
 

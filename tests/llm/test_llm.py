@@ -682,3 +682,34 @@ def test_op3_encodes_each_word_once(monkeypatch):
     got = [raw for _, raw in token_store.encoded([pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": rows})], BPE, group=20_000)]
     assert got == [x + token_store.END_BYTES for x in enc._whole(rows)]
     assert sum(sent) == len(set(known)) + 1 + 6  # with the first word and six sorts of marks
+
+
+def test_distinct_words_are_the_tokens_of_each_text():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    parts = ["a", "B", "éÀ", " ", "  ", "\n", "\t", "\x0b", "\x0c\r", "\x1c", "\xa0", "\x85", "word,", "\x00", "中"]
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500))]
+    for column in (pa.array(texts), pa.array(texts).slice(200), pa.array(texts[:2]), pa.array(texts[:0], pa.string())):
+        words, at, bounds = lm.distinct(column)
+        words = [x.encode() for x in words.to_pylist()]
+        got = [[words[k] for k in at[i:j]] for i, j in itertools.pairwise(bounds)]
+        assert got == [lm.tokens((x or "").encode()) for x in column.to_pylist()]
+        assert len(set(words)) == len(words)
+
+
+def test_coded_texts_by_brute_force(spark, docs):
+    texts = ["Xa, Xa xb. xb. xc", None, "zz!! xa, " * 3, "  ", "xb qrs?"]
+    d = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("train", F.lit(True))
+    vocab = lm.Vocabulary({lm.END: 0, b"xa,": 1, b"xc": 2}, {b"xb": 0, b"rs": 1, b"qrs": 2})
+    rows = lm.coded(d, vocab).collect()
+    z = __import__("zstandard").ZstdDecompressor()
+    heads = {r.doc_id: r for r in rows if r.kind == 0}
+    far = Counter()
+    for i, t in enumerate(texts):
+        words = lm.tokens((t or "").encode())
+        code = [vocab.hot.get(w, len(vocab.hot) + vocab.ending(w)) for w in words]
+        assert lm._unpacked(heads[i].codes, z).tolist() == [*code, 0] and heads[i].n == len(words) + 1
+        far.update((heads[i].row, w) for w in words if w not in vocab.hot)
+    assert {(r.row, bytes(r.word)): r.n for r in rows if r.kind == 1} == dict(far)
+    assert len({r.row for r in heads.values()}) == len(texts)
