@@ -713,3 +713,25 @@ def test_coded_texts_by_brute_force(spark, docs):
         far.update((heads[i].row, w) for w in words if w not in vocab.hot)
     assert {(r.row, bytes(r.word)): r.n for r in rows if r.kind == 1} == dict(far)
     assert len({r.row for r in heads.values()}) == len(texts)
+
+
+def test_op2_counts_words_without_a_call_for_each_text(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Caught:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *columns: self
+
+    def one_by_one(text):
+        raise AssertionError("a text was split by itself")
+
+    texts = ["A b, b,", None, "b, c"]
+    monkeypatch.setattr(lm, "tokens", one_by_one)
+    got = Counter()
+    for batch in lm.word_counts(Caught()).run(iter([pa.RecordBatch.from_pydict({"text": texts})])):
+        for r in batch.to_pylist():
+            got[r["word"], r["ending"]] += r["c"]
+    assert got == {(b"a", b"a"): 1, (b"b,", b"b"): 3, (b"c", b"c"): 1}
