@@ -4,6 +4,7 @@ folder and files in it."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -123,6 +124,20 @@ def tidy(words: bool = False) -> None:
         pass
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task run, tidied up before, and also after it: a worker that waits for its
+    next task else keeps the most that any task took."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return task
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

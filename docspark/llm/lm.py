@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored
+from .common import LOWER, stored, tidied
 
 END = b"\n"
 MARKS = b".,;:!?"
@@ -59,8 +60,9 @@ def distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     word that no text has may be among the distinct ones, but only the empty one."""
     # copied, as ascii_lower takes wrong bytes from a cast part of a longer column
     own = column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()).fill_null("")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
-    bounds, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+    own = pc.ascii_split_whitespace(pc.ascii_lower(own))
+    bounds, coded = own.offsets.to_numpy().astype(np.int64), own.values.dictionary_encode()
+    del own
     words, at = coded.dictionary, coded.indices.to_numpy()
     empty = pc.index(words, "").as_py()  # what stands before or after the white space at an edge
     if empty >= 0:
@@ -69,6 +71,15 @@ def distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, at, bounds
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, with about ``size`` bytes of the column's texts at
+    once: distinct() takes some ten times as much memory. A longer text is alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    for i, j in pairwise([0, *cuts.tolist(), len(ends)] if len(ends) else []):
+        yield batch.slice(i, j - i)
+
+
 def bare(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The endings of words, without the marks behind, and whether there are any."""
     short = pc.ascii_rtrim(words, MARKS.decode())
@@ -232,25 +243,30 @@ def _by_row(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_counts(train: DataFrame, size: int = 12 << 20) -> DataFrame:
     """word, ending and c, the number of times that it stands in the texts. A task
-    combines the counts of about ``size`` bytes of texts at once."""
+    combines the counts of about ``size`` bytes of texts at once; it holds the counts of
+    their pieces meanwhile, and not the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(texts: list[pa.Array]) -> pa.RecordBatch:
-            words, at, _ = distinct(pa.concat_arrays(texts))
-            c = np.bincount(at, minlength=len(words))
-            words = words.filter(pa.array(c > 0))
-            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), bare(words)[0].cast(pa.binary()), pa.array(c[c > 0], pa.int64())], ["word", "ending", "c"])
+        def out(held: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+            coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+            words, c = coded.dictionary, np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(c, coded.indices.to_numpy(), np.concatenate([n for _, n in held]))
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), bare(words)[0].cast(pa.binary()), pa.array(c, pa.int64())], ["word", "ending", "c"])
 
-        held: list[pa.Array] = []
+        held, got = [], 0
         for batch in batches:
-            held.append(batch.column(0))
-            if sum(x.nbytes for x in held) >= size:
-                yield out(held)
-                held = []
+            for part in pieces(batch, 0):
+                words, at, _ = distinct(part.column(0))
+                c = np.bincount(at, minlength=len(words))
+                held.append((words.filter(pa.array(c > 0)), c[c > 0]))
+                got += part.column(0).nbytes
+                if got >= size:
+                    yield out(held)
+                    held, got = [], 0
         if held:
             yield out(held)
 
-    each = train.select("text").mapInArrow(count, "word binary, ending binary, c long")
+    each = train.select("text").mapInArrow(tidied(count), "word binary, ending binary, c long")
     return each.groupBy("word", "ending").agg(F.sum("c").alias("c"))  # a word has one ending
 
 
@@ -302,7 +318,7 @@ def classes(heads: DataFrame, vocab: Vocabulary, groups: int, parts: int = 64) -
         rows = np.array_split(total.ravel(), parts)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "raw": pa.array([x.tobytes() for x in rows], pa.binary())})
 
-    m = _summed(heads.select("codes").mapInArrow(profile, "part int, raw binary"), parts)
+    m = _summed(heads.select("codes").mapInArrow(tidied(profile), "part int, raw binary"), parts)
     m = np.concatenate(m).reshape(n, common + 1) if m else np.zeros((n, common + 1))
     own, seen = np.zeros(n, np.int64), m[:, -1] > 0
     if seen.any():
@@ -339,10 +355,8 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         vocab, z = shared.value, zstandard.ZstdCompressor(level=1)
         size, hot, endings = len(vocab.hot), pa.array(vocab.hot, pa.large_binary()), pa.array(vocab.endings, pa.large_binary())
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             ids, train, k = batch.column(0), batch.column(2), batch.num_rows
-            if not k:
-                continue
             words, at, bounds = distinct(batch.column(1))
             # the table of hashes is of the batch's words, which are fewer than the hot ones
             found = pc.index_in(hot, value_set=words.cast(pa.large_binary()))
@@ -368,7 +382,7 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(row + text), pa.nulls(m, ids.type), train.take(pa.array(text)), pa.array(times[i : i + m]), words.take(pa.array(of)).cast(pa.binary()), pa.nulls(m, pa.binary())], names)
             row += k
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(run, CODED.format(kind=dict(docs.dtypes)["doc_id"]))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").mapInArrow(tidied(run), CODED.format(kind=dict(docs.dtypes)["doc_id"]))
 
 
 def trained(model: Model, texts_of: DataFrame, ins: np.ndarray, outs: np.ndarray, noise: np.ndarray, rate: float, batch: int, parts: int = 64) -> Model:
@@ -396,7 +410,7 @@ def trained(model: Model, texts_of: DataFrame, ins: np.ndarray, outs: np.ndarray
             rows = np.array_split(np.append(model.flat() * np.float32(n), np.float32(n)), parts)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "raw": pa.array([x.tobytes() for x in rows], pa.binary())})
 
-    got = _summed(texts_of.select("codes").mapInArrow(step, "part int, raw binary"), parts)
+    got = _summed(texts_of.select("codes").mapInArrow(tidied(step), "part int, raw binary"), parts)
     if got:
         flat = np.concatenate(got)
         model.load(flat[:-1] / flat[-1])
@@ -423,8 +437,9 @@ def scored(docs: DataFrame, hot: int = 131_072, groups: int = 30, dim: int = 32)
     # of each class, the tokens and distinct words without an output of their own
     n_of, v_of = np.zeros(2 * groups), np.zeros(2 * groups)
     marked = F.length(F.rtrim(F.col("word").cast("string"), F.lit(MARKS.decode()))) < F.length(F.col("word").cast("string"))
-    rows = [(bytearray(e), int(own[k])) for e, k in vocab.endings.items()]
-    by_class = counts.join(F.broadcast(docs.sparkSession.createDataFrame(rows, "ending binary, class int")), "ending", "left")
+    # from Arrow, which starts no Python workers of another kind beside those that the tasks keep
+    class_of = pa.table({"ending": pa.array(vocab.endings, pa.binary()), "class": pa.array(own[:-1], pa.int32())})
+    by_class = counts.join(F.broadcast(docs.sparkSession.createDataFrame(class_of, "ending binary, class int")), "ending", "left")
     of = 2 * F.coalesce("class", F.lit(int(own[-1]))) + marked.cast("int")
     for x in by_class.groupBy(of.alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
         n_of[x.k], v_of[x.k] = x.n, x.v
@@ -475,7 +490,7 @@ def scored(docs: DataFrame, hot: int = 131_072, groups: int = 30, dim: int = 32)
                 cols[3] += list(map(len, part))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[3], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["row", "doc_id", "n_tokens", "known", "base", "model"])
 
-    each = heads.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, known long, base double, model double")
+    each = heads.select("row", "doc_id", "codes").mapInArrow(tidied(run), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, known long, base double, model double")
     # a word that no training text holds has no row among the counts
     rare = book.where("kind = 1").select("row", "word", "n").join(counts.select("word", "c"), "word", "left")
     held = F.coalesce("c", F.lit(0))

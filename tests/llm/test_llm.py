@@ -735,3 +735,72 @@ def test_op2_counts_words_without_a_call_for_each_text(spark, monkeypatch):
         for r in batch.to_pylist():
             got[r["word"], r["ending"]] += r["c"]
     assert got == {(b"a", b"a"): 1, (b"b,", b"b"): 3, (b"c", b"c"): 1}
+
+
+class Tasks:
+    """A frame of which the task of mapInArrow is kept."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    select = groupBy = agg = lambda self, *columns: self
+
+
+def test_op2_holds_few_texts_at_once_and_gives_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+
+    from docspark.llm import common
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(2000)]
+    whole = [pa.RecordBatch.from_pydict({"text": texts})]  # one batch of 12 MB
+    pool, tidied = pa.proxy_memory_pool(pa.default_memory_pool()), []
+    monkeypatch.setattr(common, "tidy", lambda: tidied.append(0))
+    usual = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = Counter()
+        for batch in lm.word_counts(Tasks()).run(iter(whole)):
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                got[w.decode()] += c
+            del batch
+    finally:
+        pa.set_memory_pool(usual)
+    assert got == Counter(w for t in texts for w in t.split())
+    assert pool.max_memory() < 48 << 20
+    assert len(tidied) == 2
+
+
+def test_pieces_of_a_batch_are_its_rows():
+    import pyarrow as pa
+
+    for texts in ([], [None], ["a" * 50], ["", None, "a" * 9, "b" * 30, "c", "d" * 10, "", "é" * 5, None]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+        parts = list(lm.pieces(batch, 1, 10))
+        assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist()
+        for p in parts:
+            sizes = [len((t or "").encode()) for t in p.column(1).to_pylist()]
+            assert sizes and sum(sizes) < 10 + max(sizes[0], next((n for n in sizes if n), 0))
+
+
+def test_op2_codes_are_the_same_in_pieces(spark, docs, monkeypatch):
+    vocab = lm.Vocabulary({lm.END: 0, b"lorem": 1, b"a": 2}, {b"rem": 0, b"sum": 1})
+    d = docs.select("doc_id", "text", F.lit(True).alias("train"))
+    monkeypatch.setattr(lm.pieces, "__defaults__", (8,))
+    row = lambda r: (r.kind, r.row, r.doc_id, r.train, r.n, bytes(r.word or b""), bytes(r.codes or b""))
+    counts = lambda: sorted((bytes(r.word), bytes(r.ending), r.c) for r in lm.word_counts(docs).collect())
+    few, few_counts = sorted(map(repr, map(row, lm.coded(d, vocab).collect()))), counts()
+    monkeypatch.setattr(lm.pieces, "__defaults__", (1 << 30,))
+    assert few == sorted(map(repr, map(row, lm.coded(d, vocab).collect()))) and few_counts == counts()
+
+
+def test_op2_starts_no_workers_for_rows_of_the_driver(spark, docs, monkeypatch):
+    def by_python(*a, **k):
+        raise AssertionError("rows of the driver went through Python workers of their own")
+
+    train = docs.withColumn("train", F.lit(True))
+    n = train.count()
+    monkeypatch.setattr(type(spark), "_createFromLocal", by_python)
+    assert lm.scored(train).count() == n
