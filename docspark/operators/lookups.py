@@ -267,20 +267,30 @@ def stretch_stats(lines: DataFrame, by: list[str], r: str) -> DataFrame:
 def ranked(rows: DataFrame, order: list[str], as_: str, parts: int = 64, sample: int = 4096) -> DataFrame:
     """A number for every row in one order of all, without one task that sorts them all:
     ranges from a bounded sample, rows numbered within each, and the counts of the
-    ranges before. Any bounds give the same numbers. order is a total one."""
-    n = rows.count()
-    key = F.struct(*order)
-    hashed = F.shiftrightunsigned(F.xxhash64(*order), 1).cast("double") / F.lit(float(1 << 63))
-    got = sorted((tuple(r) for r in rows.where(hashed * n < sample).select(*order).collect()))
+    ranges before. Any bounds give the same numbers. order is a total one. A row's
+    range is found by halving, in the JVM's compiled code: within a lambda its order
+    would be made anew for every bound."""
+    got = rows.select(*order).orderBy(F.xxhash64(*order)).limit(sample).collect()
+    got = sorted((tuple(r) for r in got), key=lambda r: [(v is not None, v) for v in r])
     kinds = dict(rows.dtypes)
-    cuts = [got[k * len(got) // parts] for k in range(1, parts)] if len(got) > parts else []
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, x, strict=True)]) for x in dict.fromkeys(cuts)]) if cuts else None
-    part = F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0)
-    cut = rows.withColumn("_part", part)
-    before = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # parts rows at most
-    before = before.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    cuts = list(dict.fromkeys(got[k * len(got) // parts] for k in range(1, parts))) if len(got) > parts else []
+    key = F.struct(*order)
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cuts[mid], strict=True)])
+        return F.when(bound <= key, place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    cut = rows.withColumn("_part", place(0, len(cuts)))
+    sizes = dict(cut.groupBy("_part").count().collect())  # parts rows at most
+    before, passed = [], 0
+    for k in range(len(cuts) + 1):
+        before.append(passed)
+        passed += sizes.get(k, 0)
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return cut.join(F.broadcast(before), "_part").withColumn(as_, own + F.col("_before")).drop("_part", "_before")
+    return cut.withColumn(as_, own + F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part"))).drop("_part")
 
 
 def prefix_sums(boxes: DataFrame, by: list[str], order: str, width: Column) -> DataFrame:

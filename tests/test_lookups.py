@@ -37,6 +37,14 @@ def test_ranks_don_t_depend_on_ranges(spark):
     assert lookups.ranked(df.limit(0), ["s", "k"], "no").count() == 0
 
 
+def test_ranks_make_their_order_once(spark):
+    df = spark.range(2000).select("id", F.regexp_replace(F.hex(F.xxhash64("id")), "0+", "").alias("s"))
+    plan = lookups.ranked(df, ["s", "id"], "no")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") == 1
+    odd = spark.createDataFrame([(None, 1), ("b", 2), (None, 3), ("a", 4), ("", 5)], "s string, k long")
+    assert rows(lookups.ranked(odd, ["s", "k"], "no", 2).select("no", "k"), "no") == [(1, 1), (2, 3), (3, 5), (4, 4), (5, 2)]
+
+
 def test_children_that_stay(spark):
     cases = [([1, 2, 3, 4], [4, 1, 2, 3], 3), ([1, 2, 3], [3, 2, 1], 1), ([1, 2], [9, 1, 8, 2], 2), ([], [5], 0)]
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a array<int>, b array<int>")
