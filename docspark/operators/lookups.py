@@ -172,17 +172,35 @@ def before(path_a: Column, off_a: Column, path_b: Column, off_b: Column) -> Colu
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def cited_order(cites: DataFrame, entries: DataFrame, doc: str, key: str, order: str, all_: Column) -> DataFrame:
+def cited_order(cites: DataFrame, entries: DataFrame, doc: str, key: str, order: str, all_: Column, chunk: int = 1024) -> DataFrame:
     """Entries as a document lists them: cited ones by their first citation, each once,
-    then, where all are asked for, the others in file order (file_ord)."""
+    then, where all are asked for, the others in file order (file_ord).
+
+    A document that asks for all lists the whole file: that many rows are its result, but
+    they are never sorted or dealt out. The file's entries are ranked once. Between two
+    cited ones of a document lies a stretch of ranks, whose numbers follow from how many
+    cited ones stand before it; stretches are cut at chunks of the file and met there."""
     first = cites.groupBy(doc, key).agg(F.min(order).alias("_at"))
-    listed = first.join(entries.select(key, "file_ord"), key).select(doc, key, F.lit(0).alias("_k"), F.col("_at").cast("long").alias("_o"))
-    docs = cites.where(all_).select(doc).distinct().withColumn("_file", F.lit(0))
-    # a document that asks for all lists the whole file: that many rows are its result
-    whole = docs.join(entries.select(key, "file_ord", F.lit(0).alias("_file")), "_file").join(first.select(doc, key), [doc, key], "left_anti")
-    rest = whole.select(doc, key, F.lit(1).alias("_k"), F.col("file_ord").cast("long").alias("_o"))
-    rows = listed.unionByName(rest)
-    return rows.select(doc, key, F.row_number().over(W.partitionBy(doc).orderBy("_k", "_o")).alias("no"))
+    known = entries.select(key, "file_ord")
+    listed = first.join(known, key).select(doc, key, F.row_number().over(W.partitionBy(doc).orderBy("_at", "file_ord")).alias("no"))
+
+    file = ranked(known, ["file_ord", key], "_r").select(key, (F.col("_r") - 1).alias("_r"))
+    docs = cites.where(all_).select(doc).distinct()
+    had = cites.select(doc, key).join(docs, doc, "left_semi").distinct().join(file, key).select(doc, "_r")
+    by = W.partitionBy(doc)
+    # tasks whatever the stretches' bytes, as they are few and their rows many
+    size, tasks = entries.count(), max(64, 4 * cites.sparkSession.sparkContext.defaultParallelism)
+    chunk = max(1, min(chunk, size // (4 * tasks)))
+    ends = had.unionByName(docs.select(doc, F.lit(-1).cast("long").alias("_r")))  # before the first entry
+    seen = F.row_number().over(by.orderBy("_r")) - 1
+    gaps = ends.select(doc, (F.col("_r") + 1).alias("_from"), F.coalesce(F.lead("_r").over(by.orderBy("_r")), F.lit(size)).alias("_to"), (F.count("*").over(by) - 1 - seen).alias("_shift"))
+    gaps = gaps.where("_from < _to").select("*", F.explode(F.sequence(F.floor(F.col("_from") / chunk), F.floor((F.col("_to") - 1) / chunk))).alias("_chunk"))
+    gaps = gaps.repartition(tasks, "_chunk")
+    chunks = file.groupBy(F.floor(F.col("_r") / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("_r", key))).alias("_e"))
+    lo, start = F.greatest(F.col("_from"), F.col("_chunk") * chunk), F.col("_chunk") * chunk
+    keys = F.slice(F.col(f"_e.{key}"), (lo - start + 1).cast("int"), (F.least(F.col("_to"), start + chunk) - lo).cast("int"))
+    rest = gaps.join(chunks, "_chunk").select(doc, (lo + F.col("_shift") + 1).alias("_no"), F.posexplode(keys).alias("_i", key))
+    return listed.unionByName(rest.select(doc, key, (F.col("_no") + F.col("_i")).cast("int").alias("no")))
 
 
 def top_down(marks: DataFrame, page: str) -> DataFrame:

@@ -45,6 +45,37 @@ def test_ranks_make_their_order_once(spark):
     assert rows(lookups.ranked(odd, ["s", "k"], "no", 2).select("no", "k"), "no") == [(1, 1), (2, 3), (3, 5), (4, 4), (5, 2)]
 
 
+def records_shuffled(spark, df):
+    """Rows that a query deals out between its stages, its result thrown away."""
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(empty, False, False, quantiles, empty)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    was = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - was
+
+
+def test_a_whole_file_is_listed_without_being_dealt_out(spark):
+    rng = random.Random(5)
+    cites = [(d, rng.choice([k for k in range(2100) if k % 7]), at) for d in range(60) for at in range(rng.choice([1, 5, 40]))] + [(60, 5000, 0)]
+    entries = [(k, 3 * k % 2000 + (k >= 2000) * 9000) for k in range(2000)] + [(9999, -1)]
+    want, order = {}, [k for k, _ in sorted(entries, key=lambda e: e[1])]
+    for d in range(61):
+        first = dict.fromkeys(k for x, k, _ in cites if x == d)
+        shown = [k for k in first if k in set(order)]
+        want |= {(d, k): n for n, k in enumerate(shown + [k for k in order if d % 3 == 0 and k not in first], 1)}
+    c, e = spark.createDataFrame(cites, "d int, k long, at int").cache(), spark.createDataFrame(entries, "k long, file_ord long").cache()
+    for chunk in (1024, 1):
+        got = lookups.cited_order(c, e, "d", "k", "at", F.col("d") % 3 == 0, chunk)
+        assert {(r.d, r.k): r.no for r in got.collect()} == want and got.count() == len(want)
+    assert records_shuffled(spark, lookups.cited_order(c, e, "d", "k", "at", F.col("d") % 3 == 0)) < len(want) / 1.5
+
+
 def test_children_that_stay(spark):
     cases = [([1, 2, 3, 4], [4, 1, 2, 3], 3), ([1, 2, 3], [3, 2, 1], 1), ([1, 2], [9, 1, 8, 2], 2), ([], [5], 0)]
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a array<int>, b array<int>")
