@@ -77,13 +77,15 @@ def masked(base: list[str], over: list[str], mask: Column) -> list[Column]:
 
 def nearest(points: DataFrame, places: DataFrame, by: list[str], x: str, id_: str) -> DataFrame:
     """Each point with the place of its key that is nearest along x, the lesser id among
-    equally near ones. One sort of both: the last place before and the first after."""
+    equally near ones. The last place before in a sort of both, and in the reverse sort
+    the last one after: a frame that ends at the end of its group is made anew, in the
+    square of the group, for every row."""
     here = F.struct(F.col(x).alias("x"), F.col(id_).alias("id"))
     at = places.groupBy(*by, x).agg(F.min(id_).alias(id_)).select(*by, F.col(x), F.lit(0).alias("kind"), here.alias("place"), F.lit(None).cast("long").alias("point"))
     rows = at.unionByName(points.select(*by, F.col(x), F.lit(1).alias("kind"), F.lit(None).cast(at.schema["place"].dataType).alias("place"), F.col("point").cast("long")))
     back = W.partitionBy(*by).orderBy(x, "kind").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*by).orderBy(x, "kind").rowsBetween(0, W.unboundedFollowing)
-    both = rows.withColumns({"_b": F.last("place", True).over(back), "_a": F.first("place", True).over(ahead)}).where("kind = 1")
+    ahead = W.partitionBy(*by).orderBy(F.desc(x), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    both = rows.withColumns({"_b": F.last("place", True).over(back), "_a": F.last("place", True).over(ahead)}).where("kind = 1")
     left, right = F.col(x) - F.col("_b.x"), F.col("_a.x") - F.col(x)
     takes_left = F.col("_a").isNull() | (left < right) | ((left == right) & (F.col("_b.id") <= F.col("_a.id")))
     return both.select(*by, "point", F.when(F.col("_b").isNotNull() & takes_left, F.col("_b.id")).otherwise(F.col("_a.id")).alias(id_))
@@ -355,10 +357,9 @@ def bibliography_latex(items: DataFrame, doc: str, order: str, key: str, text: C
 
 
 def next_mark(positions: DataFrame, marks: DataFrame, by: str) -> DataFrame:
-    """positions (by, pos) with the marks (by, start) next after and last before them: one
-    sort of both and two windows."""
+    """positions (by, pos) with the marks (by, start) next after and last before them: two
+    sorts of both and a window over each (a frame to the end would be quadratic)."""
     rows = positions.select(by, "pos", F.lit(None).cast("long").alias("start"), F.col("pos").alias("_at")).unionByName(marks.select(by, F.lit(None).cast("long").alias("pos"), F.col("start").cast("long"), F.col("start").alias("_at")))
-    ordered = W.partitionBy(by).orderBy("_at")
-    ahead, behind = ordered.rangeBetween(1, W.unboundedFollowing), ordered.rangeBetween(W.unboundedPreceding, -1)
+    ahead, behind = (W.partitionBy(by).orderBy(at).rangeBetween(W.unboundedPreceding, -1) for at in (F.desc("_at"), F.asc("_at")))
     both = rows.withColumns({"next_start": F.min("start").over(ahead), "prev_start": F.max("start").over(behind)})
     return both.where("pos is not null").select(by, "pos", "next_start", "prev_start")

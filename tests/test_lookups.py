@@ -76,6 +76,20 @@ def test_a_whole_file_is_listed_without_being_dealt_out(spark):
     assert records_shuffled(spark, lookups.cited_order(c, e, "d", "k", "at", F.col("d") % 3 == 0)) < len(want) / 1.5
 
 
+def test_neighbours_by_frames_that_grow(spark):
+    rng = random.Random(6)
+    places = [(k % 3, float(rng.randint(0, 300)), k) for k in range(200)]
+    points = [(rng.randint(0, 3), float(rng.randint(-20, 320)), k) for k in range(800)]
+    df = lookups.nearest(spark.createDataFrame(points, "k int, x double, point long"), spark.createDataFrame(places, "k int, x double, id int"), ["k"], "x", "id")
+    want = {p: min(((abs(x - y), i) for q, y, i in places if q == k), default=(0, None))[1] for k, x, p in points}
+    assert {r.point: r.id for r in df.collect()} == want
+    marks = spark.createDataFrame([(1, 5), (1, 9), (2, 1)], "k int, start int")
+    near = lookups.next_mark(spark.createDataFrame([(1, 5), (1, 7), (1, 9), (2, 0), (3, 4)], "k int, pos int"), marks, "k")
+    assert rows(near, "k", "pos") == [(1, 5, 9, None), (1, 7, 9, 5), (1, 9, None, 5), (2, 0, 1, None), (3, 4, None, None)]
+    for plan in (df, near):  # a frame to the end of its group takes the square of it
+        assert "unboundedfollowing" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_children_that_stay(spark):
     cases = [([1, 2, 3, 4], [4, 1, 2, 3], 3), ([1, 2, 3], [3, 2, 1], 1), ([1, 2], [9, 1, 8, 2], 2), ([], [5], 0)]
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a array<int>, b array<int>")
