@@ -93,14 +93,23 @@ def nearest(points: DataFrame, places: DataFrame, by: list[str], x: str, id_: st
 
 def topmost_at(boxes: DataFrame, points: DataFrame, page: str, cell: float) -> DataFrame:
     """points (page, point, x, y) with box: the last of the boxes (page, idx, x0, y0, x1,
-    y1) that hold the point. Boxes are keyed by the cells of a grid that they touch."""
+    y1) that hold the point. Boxes are keyed by the cells of a grid that they touch, and
+    cut to them. Of equal parts of a cell the last box counts, and none that lies below
+    one that fills the cell; so a place meets few boxes however many lie over it."""
     def span(a: str, b: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
 
-    keyed = boxes.select(page, "idx", "x0", "y0", "x1", "y1", span("x0", "x1").alias("cx")).select("*", span("y0", "y1").alias("cy"))
-    asked = points.select(page, "point", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    hit = asked.join(keyed, [page, "cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").groupBy("point").agg(F.max("idx").alias("box"))
-    return points.join(hit, "point", "left").select(page, "point", "box")
+    at = [page, "cx", "cy"]
+    left, top = F.col("cx") * cell, F.col("cy") * cell
+    whole = boxes.where("x0 <= x1 and y0 <= y1").groupBy(page, "x0", "y0", "x1", "y1").agg(F.max("idx").alias("idx"))
+    keyed = whole.select("*", span("x0", "x1").alias("cx")).select("*", span("y0", "y1").alias("cy"))
+    cut = keyed.select(*at, "idx", F.greatest("x0", left).alias("x0"), F.greatest("y0", top).alias("y0"), F.least("x1", left + cell).alias("x1"), F.least("y1", top + cell).alias("y1"))
+    parts = cut.groupBy(*at, "x0", "y0", "x1", "y1").agg(F.max("idx").alias("idx"))
+    fills = (F.col("x0") <= left) & (F.col("y0") <= top) & (F.col("x1") >= left + cell) & (F.col("y1") >= top + cell)
+    seen = parts.withColumn("_fill", F.max(F.when(fills, F.col("idx"))).over(W.partitionBy(*at))).where("_fill is null or idx >= _fill").drop("_fill")
+    asked = points.select(page, "x", "y").distinct().withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    hit = asked.join(seen, at).where("x between x0 and x1 and y between y0 and y1").groupBy(page, "x", "y").agg(F.max("idx").alias("box"))
+    return points.join(hit, [page, "x", "y"], "left").select(page, "point", "box")
 
 
 def resolved_format(runs: DataFrame, formats: DataFrame, styles: DataFrame, theme: dict, props: list[str]) -> DataFrame:

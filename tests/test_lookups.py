@@ -90,6 +90,29 @@ def test_neighbours_by_frames_that_grow(spark):
         assert "unboundedfollowing" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_topmost_of_many_boxes(spark):
+    rng = random.Random(7)
+    boxes = [(k % 2, k, x, y, x + rng.choice([0.0, 3.5, 20.0, 40.0]), y + rng.choice([0.0, 5.0, 33.0])) for k in range(3000) for x, y in [(rng.choice([-7.0, 0.0, 16.0, 2.5, 31.0]), float(rng.randint(-20, 40)))]]
+    boxes += [(0, 9000, 5.0, 5.0, 1.0, 9.0), (0, 9001, None, 0.0, 50.0, 50.0)]
+    points = [(rng.randint(0, 2), k, rng.choice([0.0, 16.0, 2.5, 32.0, -7.0, 11.25]), float(rng.randint(-25, 75))) for k in range(900)]
+    holds = lambda b, x, y: b[2] is not None and b[2] <= x <= b[4] and b[3] <= y <= b[5]
+    want = {p: max((b[1] for b in boxes if b[0] == g and holds(b, x, y)), default=None) for g, p, x, y in points}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:  # rows that a join makes: far fewer than there are pairs of a point and a box that holds it
+        df = lookups.topmost_at(spark.createDataFrame(boxes, "page int, idx long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(points, "page int, point long, x double, y double"), "page", 16.0)
+        assert {r.point: r.box for r in df.collect()} == want
+        made, nodes = [], [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            kids = node.children()
+            nodes += [kids.apply(k) for k in range(kids.size())]
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(made) < 30 * len(points) < sum(holds(b, x, y) for g, _, x, y in points for b in boxes if b[0] == g)
+
+
 def test_children_that_stay(spark):
     cases = [([1, 2, 3, 4], [4, 1, 2, 3], 3), ([1, 2, 3], [3, 2, 1], 1), ([1, 2], [9, 1, 8, 2], 2), ([], [5], 0)]
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a array<int>, b array<int>")
