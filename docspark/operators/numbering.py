@@ -42,16 +42,15 @@ def running_heading(blocks: DataFrame, doc: list[Column], order: list[Column], l
 
 def list_counters(items: DataFrame, flow: list[Column], level: Column, order: list[Column], levels: int, starts: list[int]) -> DataFrame:
     """Counters c0.. of all levels at each item, for lists in which a deeper level
-    starts anew after any shallower item. Each is a count within the stretch since
-    the last shallower item, so all are windows over one partitioning."""
+    starts anew after any shallower item. Each is a count so far less what it was at the
+    last shallower item, so all are windows over one sort; a window over a key of its own
+    would sort the rows once more and hold both."""
     upto = W.partitionBy(*flow).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    lv = F.least(level, F.lit(levels - 1))
-    out = items.withColumn("_lv", lv)
-    for k in range(levels):
-        out = out.withColumn(f"_s{k}", F.sum(F.when(F.col("_lv") < k, 1).otherwise(0)).over(upto) if k else F.lit(0))
-    for k in range(levels):
-        seen = F.sum(F.when(F.col("_lv") == k, 1).otherwise(0)).over(W.partitionBy(*flow, f"_s{k}").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        out = out.withColumn(f"_n{k}", seen)
+    out = items.withColumn("_lv", F.least(level, F.lit(levels - 1)))
+    out = out.withColumns({f"_c{k}": F.count_if(F.col("_lv") == k).over(upto) for k in range(levels)})
+    # a count never falls: the last at a shallower item is the greatest
+    left = {k: F.coalesce(F.max(F.when(F.col("_lv") < k, F.col(f"_c{k}"))).over(upto), F.lit(0)) if k else F.lit(0) for k in range(levels)}
+    out = out.withColumns({f"_n{k}": F.col(f"_c{k}") - left[k] for k in range(levels)})
     counters = [
         # a level that a deeper item left behind keeps its count until an item clears it
         F.when(F.col(f"_n{k}") > 0, F.col(f"_n{k}") + starts[k] - 1).otherwise(F.lit(0)).cast("int").alias(f"c{k}")

@@ -62,14 +62,16 @@ def note_restart(spark: SparkSession, d: str) -> DataFrame:
 _LEVEL = "(l_partkey % 3)"
 
 
+_READ = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_LEVEL).cast("int").alias("level"))
-    n = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
-    return items.withColumn("seq", n)
+    return items.withColumn("seq", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*_READ)))
 
 
 def list_labels(spark: SparkSession, d: str) -> DataFrame:
-    counted = numbering.list_counters(_items(spark, d), [F.col("l_suppkey")], F.col("level"), [F.col("seq")], 3, [1, 1, 4])
+    counted = numbering.list_counters(_items(spark, d), [F.col("l_suppkey")], F.col("level"), [F.col(c) for c in _READ], 3, [1, 1, 4])
     shown = [numbers.format_number(F.col(f"c{k}"), f) for k, f in enumerate(("decimal", "loweralpha", "lowerroman"))]
     label = F.when(F.col("list_lv") == 0, numbering.list_label("%1.", shown)).when(F.col("list_lv") == 1, numbering.list_label("%1.%2)", shown)).otherwise(numbering.list_label("(%3)", shown))
     return counted.select("l_suppkey", "seq", "level", label.alias("label"))

@@ -37,6 +37,24 @@ def test_list_labels_follow_the_fixture(spark):
     assert [r[0] for r in c.orderBy("seq").select(label).collect()] == ["1.", "1.a)", "1.b)", "2."]
 
 
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [")
+
+
+def test_counters_of_all_levels_from_one_sort(spark):
+    rng = random.Random(8)
+    data = [(f, k, rng.choice([0, 1, 1, 2, 2, 2, 5])) for f in range(5) for k in range(60)]
+    c = numbering.list_counters(spark.createDataFrame(data, "flow int, seq int, level int"), [F.col("flow")], F.col("level"), [F.col("seq")], 3, [1, 1, 4])
+    want, starts = {}, [1, 1, 4]
+    for f, k, lv in data:
+        count = [0, 0, 0] if not k else count  # noqa: F821  of the item before
+        at = min(lv, 2)
+        count = [n if i < at else n + 1 if i == at else 0 for i, n in enumerate(count)]
+        want[f, k] = tuple(n and n + s - 1 for n, s in zip(count, starts, strict=True))
+    assert {(r.flow, r.seq): (r.c0, r.c1, r.c2) for r in c.collect()} == want
+    assert sorts(c) == 1  # each more would hold the rows once more
+
+
 def test_restart_rules(spark):
     items = spark.createDataFrame([("a", i, lv) for i, lv in enumerate([0, 1, 0, 1, 1])], "flow string, seq int, level int")
     never = numbering.folded_counters(items, ["flow"], ["seq"], "level", [(1, 0), (1, -1)]).orderBy("seq").collect()
