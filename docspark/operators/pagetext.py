@@ -33,7 +33,8 @@ def gaps(chars: DataFrame, by: list[str]) -> DataFrame:
 
 def lines(chars: DataFrame, by: list[str]) -> DataFrame:
     """by, line_no, x0, y0, x1, y1, size (the mean), n, first_cp of each line. A line
-    ends at a missing newline, and at a gap of over 1.5 sizes that spaces fill."""
+    ends at a missing newline, and at a gap of over 1.5 sizes that spaces fill. All windows
+    are over one sort: one by segments would sort the characters again and hold both."""
     w = W.partitionBy(*by).orderBy("idx")
     upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     real = F.col("cp") != 32
@@ -45,12 +46,13 @@ def lines(chars: DataFrame, by: list[str]) -> DataFrame:
     filled = (F.col("_last.idx") < F.col("idx") - 1) | (F.col("gap") == "space")
     gutter = real & filled & (F.col("x0") - F.col("_last.x1") > 1.5 * size)
     begins = F.when((F.col("gap") == "newline") | gutter, 1).otherwise(0)
-    seg = g.withColumn("_seg", F.sum(begins).over(upto))
-    # a stretch of spaces alone belongs to the line before it
-    first_real = F.min(F.when(real, F.col("idx"))).over(W.partitionBy(*by, "_seg"))
-    numbered = seg.withColumn("line_no", F.sum(F.when(F.col("idx") == first_real, 1).otherwise(0)).over(upto))
-    numbered = numbered.withColumn("line_no", F.max("line_no").over(W.partitionBy(*by, "_seg")))
-    r = numbered.where(real & (F.col("line_no") > 0))
+    # a line begins at the first real character of a segment, and a stretch of spaces
+    # alone belongs to the line before it: counts so far, all in the one order
+    seen = F.sum(F.when(real, 1).otherwise(0)).over(before)
+    counted = g.withColumns({"_begins": begins, "_seen": F.coalesce(seen, F.lit(0))})
+    counted = counted.withColumn("_base", F.coalesce(F.max(F.when(F.col("_begins") == 1, F.col("_seen"))).over(upto), F.lit(0)))
+    numbered = counted.withColumn("line_no", F.sum(F.when(real & (F.col("_seen") == F.col("_base")), 1).otherwise(0)).over(upto))
+    r = numbered.where(real)
     return r.groupBy(*by, "line_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.avg("size").alias("size"), F.count("*").alias("n"), F.min_by("cp", "idx").alias("first_cp"))
 
 

@@ -55,6 +55,29 @@ def test_counters_of_all_levels_from_one_sort(spark):
     assert sorts(c) == 1  # each more would hold the rows once more
 
 
+def test_lines_of_a_page_from_one_sort(spark):
+    rng = random.Random(9)
+    data = []
+    for page in range(6):
+        x, y = 0.0, 0.0
+        for k in range(120):
+            x, y = (rng.choice([0.0, 30.0]), y + 12.0) if rng.random() < 0.15 else (x + rng.choice([6.0, 6.0, 6.0, 9.0, 40.0]), y)
+            data.append((page, k + 2 * (k > 60), rng.choice([32, 32, 97, 98, 99]), x, y, x + 6, y + rng.choice([0.0, 8.0]), rng.choice([0.0, 8.0])))
+    chars = spark.createDataFrame(data, "page int, idx int, cp int, x0 double, y0 double, x1 double, y1 double, size double")
+    want = {}
+    for c in pagetext.gaps(chars, ["page"]).orderBy("page", "idx").collect():
+        if not c.idx:
+            last, n, fresh = None, 0, True
+        gutter = last and c.cp != 32 and (last[0] < c.idx - 1 or c.gap == "space") and c.x0 - last[1] > 1.5 * (last[2] or 10)
+        fresh = fresh or c.gap == "newline" or bool(gutter)
+        if c.cp != 32:
+            n, fresh, last = n + fresh, False, (c.idx, c.x1, c.size or c.y1 - c.y0)
+            want.setdefault((c.page, n), []).append(c)
+    got = pagetext.lines(chars, ["page"])
+    assert {(r.page, r.line_no): (r.n, r.x0, r.x1, r.y0, r.y1, r.first_cp) for r in got.collect()} == {k: (len(v), min(c.x0 for c in v), max(c.x1 for c in v), min(c.y0 for c in v), max(c.y1 for c in v), v[0].cp) for k, v in want.items()}
+    assert sorts(got) == 1
+
+
 def test_restart_rules(spark):
     items = spark.createDataFrame([("a", i, lv) for i, lv in enumerate([0, 1, 0, 1, 1])], "flow string, seq int, level int")
     never = numbering.folded_counters(items, ["flow"], ["seq"], "level", [(1, 0), (1, -1)]).orderBy("seq").collect()
