@@ -27,16 +27,17 @@ def coalesced(runs: DataFrame, by: list[str], order: list[str], value: str) -> D
 
 def split_at(runs: DataFrame, ranges: DataFrame, block: str, fmt: str = "format") -> DataFrame:
     """Runs cut at both ends of the ranges (block, from, to, set) that meet them, with
-    set in place of the format inside one; ranges of a block don't overlap. An
-    interval join within the block."""
-    cuts = ranges.select(block, F.explode(F.array("from", "to")).alias("cut")).distinct()
-    inner = runs.join(cuts, block).where("cut > start and cut < end").groupBy(block, "start").agg(F.collect_set("cut").alias("cuts"))
-    marks = runs.join(inner, [block, "start"], "left").withColumn("marks", F.array_sort(F.concat(F.array("start", "end"), F.coalesce("cuts", F.array().cast("array<int>")))))
-    parts = marks.select(block, fmt, F.posexplode("marks").alias("i", "s"), "marks").where(F.col("i") < F.size("marks") - 1)
-    parts = parts.select(block, fmt, F.col("s").alias("start"), F.get("marks", F.col("i") + 1).alias("end"))
-    r = ranges.select(F.col(block).alias("_b"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("set").alias("_s"))
-    hit = parts.join(r, (parts[block] == r._b) & (parts.start >= r._f) & (parts.end <= r._t), "left")
-    return hit.select(block, "start", "end", F.coalesce("_s", fmt).alias(fmt))
+    set in place of the format inside one; ranges of a block don't overlap. One join with
+    a block's ranges as an array: a task sorts its runs once."""
+    own = ranges.groupBy(block).agg(F.collect_list(F.struct("from", "to", "set")).alias("_r"))
+    ends = F.array_distinct(F.flatten(F.transform("_r", lambda r: F.array(r["from"], r["to"]))))
+    inner = F.filter(ends, lambda c: (c > F.col("start")) & (c < F.col("end")))
+    marks = F.array_sort(F.concat(F.array("start", "end"), F.coalesce(inner, F.array().cast("array<int>"))))
+    marked = runs.join(own, block, "left").select(block, fmt, "_r", marks.alias("_m"))
+    parts = marked.select(block, fmt, "_r", "_m", F.explode(F.sequence(F.lit(1), F.size("_m") - 1)).alias("_i"))
+    parts = parts.select(block, fmt, "_r", F.get("_m", F.col("_i") - 1).alias("start"), F.get("_m", F.col("_i")).alias("end"))
+    hit = F.get(F.filter("_r", lambda r: (F.col("start") >= r["from"]) & (F.col("end") <= r["to"])), F.lit(0))
+    return parts.select(block, "start", "end", F.coalesce(hit["set"], fmt).alias(fmt))
 
 
 def resolved(runs: DataFrame, kind: Column, accept: Column) -> DataFrame:

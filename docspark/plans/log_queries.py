@@ -90,7 +90,7 @@ def run_split(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order as runs of ten characters; formats set over [5, 17) and [30, 34)."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("format"))
     r = lines.select(F.col("l_orderkey").alias("block"), ((F.col("l_linenumber") - 1) * 10).cast("int").alias("start"), (F.col("l_linenumber") * 10).cast("int").alias("end"), "format")
-    keys = r.select("block").distinct()
+    keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block")).distinct()
     ranges = keys.select("block", F.explode(F.array(F.struct(F.lit(5).alias("from"), F.lit(17).alias("to"), F.lit("bold").alias("set")), F.struct(F.lit(30).alias("from"), F.lit(34).alias("to"), F.lit("it").alias("set")))).alias("x")).select("block", "x.*")
     return runs.split_at(r, ranges, "block")
 

@@ -78,6 +78,24 @@ def test_lines_of_a_page_from_one_sort(spark):
     assert sorts(got) == 1
 
 
+def test_runs_are_cut_by_one_join(spark):
+    rng = random.Random(10)
+    tiles, sets = [], []
+    for b in range(40):
+        cuts = sorted(rng.sample(range(1, 60), 6))
+        tiles += [(b, s, e, rng.choice(["x", None])) for s, e in zip([0, *cuts], [*cuts, cuts[-1]], strict=True)]  # the last is empty
+        ends = sorted(rng.sample(range(60), 4))
+        sets += [(b, *ends[:2], "p"), (b, *ends[2:], "q")] if b % 4 else []
+    got = runs.split_at(spark.createDataFrame(tiles, "b int, start int, end int, format string"), spark.createDataFrame(sets, "b int, from int, to int, set string"), "b")
+    want = []
+    for b, s, e, f in tiles:
+        mine = [r for r in sets if r[0] == b]
+        at = sorted([s, e, *{c for r in mine for c in r[1:3] if s < c < e}])
+        want += [(b, i, j, next((r[3] for r in mine if r[1] <= i and j <= r[2]), f)) for i, j in zip(at, at[1:], strict=False)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_restart_rules(spark):
     items = spark.createDataFrame([("a", i, lv) for i, lv in enumerate([0, 1, 0, 1, 1])], "flow string, seq int, level int")
     never = numbering.folded_counters(items, ["flow"], ["seq"], "level", [(1, 0), (1, -1)]).orderBy("seq").collect()
