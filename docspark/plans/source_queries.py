@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import codec, media, text
 from ..operators import breaking
 from ..sources import bibtex, markup, office
-from .common import table
+from .common import dealt, table
 
 FILTERS = ["FlateDecode", "ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode", "LZWDecode", "ASCIIHexDecode RunLengthDecode"]
 
@@ -42,7 +42,7 @@ def _filtered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 def stream_filters(spark: SparkSession, d: str) -> DataFrame:
     k = (F.col("p_partkey") % 6).cast("int")
-    p = table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, FILTERS)), k).alias("names"), _filtered("p_name", k).alias("raw"))
+    p = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.get(F.array(*map(F.lit, FILTERS)), k).alias("names"), _filtered("p_name", k).alias("raw"))
     return p.select("p_partkey", codec.stream_bytes("raw", "names").cast("string").alias("text"))
 
 
@@ -50,13 +50,13 @@ def gif_frames(spark: SparkSession, d: str) -> DataFrame:
     delay = F.concat(F.lpad(F.hex(F.col("p_size")), 2, "0"), F.lit("00"))
     frame = F.concat(F.lit("21F90400"), delay, F.lit("00002C0000000001000100000202440100"))
     raw = F.unhex(F.concat(F.lit("47494638396101000100800000000000FFFFFF21FE026869" + "00"), F.repeat(frame, (F.col("p_partkey") % 4).cast("int")), F.lit("3B")))
-    return table(spark, d, "part").select("p_partkey", codec.gif_frames(raw).alias("delays"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", codec.gif_frames(raw).alias("delays"))
 
 
 def jpeg_sizes(spark: SparkSession, d: str) -> DataFrame:
     two = lambda c: F.lpad(F.hex(c), 4, "0")
     raw = F.unhex(F.concat(F.lit("FFD8FFE000044A46FFC4000411" + "22FFC2001108"), two(F.col("p_size")), two(F.col("p_partkey") % 60_000), F.lit("03012200021101031101FFD9")))
-    return table(spark, d, "part").select("p_partkey", media.jpeg_size(raw).alias("x")).select("p_partkey", "x.w", "x.h")
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", media.jpeg_size(raw).alias("x")).select("p_partkey", "x.w", "x.h")
 
 
 def xml_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _decoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def entity_decode(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(text.html_escaped(F.col("p_name")), F.lit("&eacute;&#x41;&#"), (F.col("p_partkey") % 26 + 97).cast("string"), F.lit(";&nosuch; &amp"))
-    return table(spark, d, "part").select("p_partkey", _decoded(t).alias("text"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", _decoded(t).alias("text"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -85,7 +85,7 @@ def _tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def markup_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("<!-- x --><P CLASS='a b' id="), "p_partkey", F.lit(">"), "p_name", F.lit(" < 3<br/><script>if (a<b) {}</script></p>"))
-    return table(spark, d, "part").select("p_partkey", _tokens(t).alias("tokens"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", _tokens(t).alias("tokens"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -96,7 +96,7 @@ def _names(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def bib_names(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Ada van der "), "p_brand", F.lit(" and {Barnes and "), "p_type", F.lit("} and von Beethoven, Ludwig and Knuth"))
-    return table(spark, d, "part").select("p_partkey", _names(t).alias("names"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", _names(t).alias("names"))
 
 
 def bib_years(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +106,12 @@ def bib_years(spark: SparkSession, d: str) -> DataFrame:
 
 def latex_text(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("\\documentclass{article} % x\n\\begin{document}\n\\section{"), "p_name", F.lit(" \\& co}\nCaf\\'e na\\\"{i}ve --- 50\\% % gone\nof it\n\n\\begin{itemize}\n\\item \\emph{"), "p_type", F.lit("}\n\\item two\n\\end{itemize}\n\\end{document} after"))
-    return office.paragraphs(table(spark, d, "part").select("p_partkey", body.cast("binary").alias("content")), "p_partkey", "content", "latex").select("p_partkey", "ord", "role", "text")
+    return office.paragraphs(dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", body.cast("binary").alias("content")), "p_partkey", "content", "latex").select("p_partkey", "ord", "role", "text")
 
 
 def rtf_text(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 Times;}}{\\*\\x gone}\\f0 "), "p_name", F.lit(" caf\\'e9 \\u945?\\{b\\}\\tab x\\par\n{\\b "), "p_type", F.lit("}\\line y\\emdash z\\par}"))
-    return office.paragraphs(table(spark, d, "part").select("p_partkey", body.cast("binary").alias("content")), "p_partkey", "content", "rtf").select("p_partkey", "ord", "text")
+    return office.paragraphs(dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", body.cast("binary").alias("content")), "p_partkey", "content", "rtf").select("p_partkey", "ord", "text")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -131,7 +131,7 @@ def _deck(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def pptx_import(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").select("p_partkey", _deck("p_name").alias("content"))
+    files = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", _deck("p_name").alias("content"))
     return office.paragraphs(files, "p_partkey", "content", "pptx").select("p_partkey", "ord", "part", "text")
 
 
@@ -143,7 +143,7 @@ def _badness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 
 
 def badness_values(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", _badness(F.col("p_partkey") % 700, F.col("p_size") * 3).alias("x")).select("p_partkey", "x.cubic", "x.tex")
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", _badness(F.col("p_partkey") % 700, F.col("p_size") * 3).alias("x")).select("p_partkey", "x.cubic", "x.tex")
 
 
 QUERIES = {f.__name__: f for f in (stream_filters, gif_frames, jpeg_sizes, xml_nodes, entity_decode, markup_tokens, bib_names, bib_years, latex_text, rtf_text, pptx_import, badness_values)}
