@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bidi, segment
 from ..functions.text import may_be_rtl
 from ..operators import breaking, edits, lookups
-from .common import table
+from .common import dealt, table
 
 
 def edit_delete_range(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ HEBREW = "אבג"
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(f" {HEBREW} "), "p_partkey").alias("text"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.concat("p_name", F.lit(f" {HEBREW} "), "p_partkey").alias("text"))
 
 
 def bidi_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def visual_order(spark: SparkSession, d: str) -> DataFrame:
 
 def mixed_direction(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.lit(f"{HEBREW} 12")).otherwise(F.concat("p_name", F.lit(HEBREW)))
-    p = table(spark, d, "part").select("p_partkey", text.alias("text"))
+    p = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", text.alias("text"))
     return p.select("p_partkey", segment.direction(F.when(may_be_rtl(F.col("text")), F.col("text"))).alias("direction"))
 
 

@@ -18,6 +18,6 @@ def test_query_without_sql_gives_rows(spark, name):
 
 
 def test_short_rows_are_dealt_to_all_cores(spark):
-    for name in ("pptx_import", "rtf_text", "latex_text", "markup_tokens"):
+    for name in ("pptx_import", "rtf_text", "latex_text", "markup_tokens", "visual_order", "bidi_levels"):
         used = QUERIES[name](spark, SF).select(F.spark_partition_id().alias("k")).groupBy("k").count().count()
         assert used >= spark.sparkContext.defaultParallelism, name
