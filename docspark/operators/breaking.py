@@ -296,6 +296,108 @@ def fit_many(paragraphs: list[np.ndarray], width: int) -> list[tuple[list[int],
     return out
 
 
+#: Places of fit_lines() held at once, and the most of one paragraph; 14 bytes each.
+_PLACES, _LONGEST = 4_000_000, 16_000_000
+#: Totals from here on count as equal, and those that no breaks have.
+_LARGE, _NONE = 1 << 61, 1 << 62
+
+
+def fit_lines(paragraphs: list[np.ndarray], width: int, lines: list[int]) -> list[tuple[list[int], int]]:
+    """Breaks and demerits of total_fit() with lines, of paragraphs given by their words'
+    widths. The program of fit_many() with states by line count too. What a line of each
+    class adds to is chosen once for a place, not for every line that begins there.
+    Paragraphs that can't have so many lines, or with totals beyond whole numbers of 64
+    bits, are left to the program for one."""
+    order = sorted((k for k, p in enumerate(paragraphs) if len(p)), key=lambda k: -len(paragraphs[k]))
+    out: list[tuple[list[int], int] | None] = [None if len(p) else ([], 0) for p in paragraphs]
+    i = 0
+    while i < len(order):
+        n, top, part = len(paragraphs[order[i]]), 0, []
+        for k in order[i : i + 256]:
+            top = max(top, lines[k])
+            if part and (n + 1) * (top + 1) * 4 * (len(part) + 1) > _PLACES:
+                break
+            part.append(k)
+        i += len(part)
+        part = [k for k in part if 0 < lines[k] <= len(paragraphs[k])]
+        if part and (len(paragraphs[part[0]]) + 1) * (max(lines[k] for k in part) + 1) * 4 <= _LONGEST:
+            for k, found in zip(part, _fit_part([paragraphs[k] for k in part], width, [lines[k] for k in part]), strict=True):
+                out[k] = found
+    return [_fit_words(p.tolist(), width, n) if x is None else x for x, p, n in zip(out, paragraphs, lines, strict=True)]
+
+
+def _fit_part(paragraphs: list[np.ndarray], width: int, lines: list[int]) -> list[tuple[list[int], int] | None]:
+    """fit_lines() of a few paragraphs, longest first."""
+    fit_t, fit_last, cost_t, cost_last = _line_tables(width)
+    most, size = fit_t.shape
+    sizes = np.array([len(p) for p in paragraphs])
+    n, rows, top = int(sizes[0]), len(sizes), max(lines) + 1
+    at = np.zeros((rows, n + 1), np.int64)
+    for r, p in enumerate(paragraphs):
+        at[r, 1 : len(p) + 1] = np.cumsum(p + SPACE)
+    # by place, class of the next line, lines so far and row: the least total, and its class
+    ahead, chosen = np.full((n + 1, 4, top, rows), _NONE), np.zeros((n + 1, 4, top, rows), np.int8)
+    ahead[0, :, 0], chosen[0, :, 0] = 0, 2
+    # by place, class of the line that ends there, lines and row: where it began, and after which class
+    back, came = np.zeros((n + 1, 4, top, rows), np.int32), np.zeros((n + 1, 4, top, rows), np.int8)
+    ends: list[tuple[int, int] | None] = [None] * rows  # class and total at the end of the text
+    cost, first = np.full((4, top, rows), _NONE), np.full((4, top, rows), 9999, np.int16)
+    cost[2, 0], first[2, 0] = 0, 0
+    for b in range(1, n + 1):
+        m = int(np.searchsorted(-sizes, -b, "right"))  # paragraphs with a word b
+        last, w, high = sizes[:m] == b, min(b, most), min(b, top - 1)
+        starts = np.arange(b - 1, b - 1 - w, -1)
+        natural = (at[:m, b] - SPACE - at[:m, starts].T).clip(max=size - 1)
+        gaps = (b - 1 - starts)[:, None]
+        fit = np.where(last, fit_last[gaps, natural], fit_t[gaps, natural])
+        own = np.where(last, cost_last[gaps, natural], cost_t[gaps, natural])
+        was, was_first = cost, first
+        cost, first = np.full((4, top, m), _NONE), np.full((4, top, m), 9999, np.int16)
+        kk, each = np.arange(high)[:, None], np.arange(m)
+        for f in range(4):
+            turns = np.flatnonzero((fit == f).any(1))
+            if not len(turns):
+                continue
+            t = ahead[starts[turns], f, :high, :m]
+            there = (fit[turns] == f)[:, None] & (t < _NONE)
+            t = np.where(there, np.minimum(t + own[turns][:, None], _LARGE), _NONE)
+            pick = t.argmin(0)
+            a = starts[turns[pick]]
+            cost[f, 1 : high + 1] = t[pick, kk, each]
+            back[b, f, 1 : high + 1, :m] = a
+            came[b, f, 1 : high + 1, :m] = chosen[a, f, kk, each]
+            first[f, 1 : high + 1] = np.where(there.any(0), turns[there.argmax(0)], 9999)
+        alone = np.flatnonzero(~(fit >= 0).any(0))  # a word wider than the line
+        if len(alone):
+            t, when = was[:, :high][:, :, alone], was_first[:, :high][:, :, alone]
+            least = t.min(0)
+            cost[2, 1 : high + 1, alone] = np.where(least < _NONE, np.minimum(least + OVERFULL, _LARGE), _NONE).T
+            back[b, 2, 1 : high + 1, alone] = b - 1
+            came[b, 2, 1 : high + 1, alone] = np.where(t == least, when, 10_000).argmin(0).T
+            first[2, 1 : high + 1, alone] = np.where(least < _NONE, 0, 9999).T
+        for g in range(4):  # of equal totals the class that came first
+            best, turn, of = np.full((top, m), _NONE), np.full((top, m), 10_000, np.int16), np.zeros((top, m), np.int8)
+            for f in range(4):
+                t = np.where(cost[f] < _NONE, np.minimum(cost[f] + (ADJACENT if abs(f - g) > 1 else 0), _LARGE), _NONE)
+                better = (t < best) | ((t == best) & (first[f] < turn))
+                np.copyto(best, t, where=better)
+                np.copyto(turn, first[f], where=better)
+                of[better] = f
+            ahead[b, g, :, :m], chosen[b, g, :, :m] = best, of
+        for r in np.flatnonzero(last):
+            t = cost[:, lines[r], r]
+            f = int(np.where(t == t.min(), first[:, lines[r], r], 10_000).argmin())
+            ends[r] = f, int(t[f])
+    out: list[tuple[list[int], int] | None] = []
+    for r, (f, total) in enumerate(ends):
+        b, k, breaks = int(sizes[r]), lines[r], []
+        while b > 0 and total < _LARGE:
+            breaks.append(b)
+            b, f, k = int(back[b, f, k, r]), int(came[b, f, k, r]), k - 1
+        out.append((breaks[::-1], total) if total < _LARGE else None)
+    return out
+
+
 def first_fit(p: Paragraph, width: int) -> list[int]:
     out, a, n = [], 0, len(p.boxes)
     while a < n:
@@ -349,22 +451,19 @@ def fitted(paras: DataFrame, key: list[str], text: str, width: int, looseness: i
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
             boxes = [np.fromiter(map(len, (t or "").split()), np.int64) * CHAR for t in f[text]]
-            for widths, (breaks, d, greedy) in zip(boxes, fit_many(boxes, width), strict=True):
-                if looseness and breaks:
-                    breaks, d = _fit_words(widths.tolist(), width, len(breaks) + looseness)
-                rows.append((len(breaks), breaks, d, greedy))
+            found = fit_many(boxes, width)
+            loose = fit_lines(boxes, width, [len(x[0]) + looseness for x in found]) if looseness else found
+            rows = [(len(breaks), breaks, d, best[2]) for best, (breaks, d, *_) in zip(found, loose, strict=True)]
             out = f[key].copy()
             out[["lines", "breaks", "demerits", "greedy_demerits"]] = pd.DataFrame(rows, columns=list("abcd"), index=f.index) if rows else None
             yield out
 
     kinds = dict(paras.dtypes)
-    cores = paras.sparkSession.sparkContext.defaultParallelism
-    if paras.rdd.getNumPartitions() < cores:  # a few small files: one core would do it all
-        paras = paras.repartition(cores)
+    # a few files, or row groups, would be a few cores' work
+    paras = paras.select(*key, text).repartition(max(32, 3 * paras.sparkSession.sparkContext.defaultParallelism), *key)
     schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", lines int, breaks array<int>, demerits long, greedy_demerits long"
-    return paras.select(*key, text).mapInPandas(run, schema)
+    return paras.mapInPandas(run, schema)
 
 
 def first_fit_starts(text: Column, width: int) -> Column:

@@ -147,6 +147,27 @@ def test_many_paragraphs_are_fitted_as_one_is():
         assert [tuple(x) for x in many] == [(*breaking.total_fit(p, width, bad=exact), breaking.demerits(p, breaking.first_fit(p, width), width)) for p in paras]
 
 
+def test_looser_fits_of_many_paragraphs(monkeypatch):
+    rng = random.Random(11)
+    texts = ["", "a", "a b", "y" * 60, "x" * 45 + " a b c d " + "y" * 60, " ".join("a" * rng.choice([1, 2]) for _ in range(80)), " ".join(["z" * 60] * 3000)]
+    texts += [" ".join("z" * rng.choice([39, 38, 2]) for _ in range(30)), " ".join("w" * 7 for _ in range(70)), " ".join("q" * 41 for _ in range(9))]
+    texts += [" ".join("w" * rng.choice([rng.randint(1, 12), rng.randint(1, 50) if j % 5 == 0 else 4]) for _ in range(rng.randint(1, 90))) for j in range(160)]
+    boxes = [np.fromiter(map(len, t.split()), np.int64) * breaking.CHAR for t in texts]
+    for width in (400, 95):
+        best = breaking.fit_many(boxes, width)
+        for more in (1, -1, 3):
+            asked = [len(b[0]) + more for b in best]
+            want = [breaking._fit_words(p.tolist(), width, n) for p, n in zip(boxes, asked, strict=True)]
+            assert breaking.fit_lines(boxes, width, asked) == want
+            monkeypatch.setattr(breaking, "_PLACES", 10_000)
+            assert breaking.fit_lines(boxes[:40], width, asked[:40]) == want[:40]
+            monkeypatch.undo()
+    # all that can have so many lines are fitted at once
+    plain = [p for p in boxes if 2 < len(p) < 200 and p.max() < 300]
+    monkeypatch.setattr(breaking, "_fit_words", None)
+    assert len(breaking.fit_lines(plain, 400, [len(b[0]) + 1 for b in breaking.fit_many(plain, 400)])) == len(plain) > 60
+
+
 def test_levels_of_mixed_text():
     h = "אבג"
     want = {f"abc {h} 123": [0] * 4 + [1] * 4 + [2] * 3, f"{h} abc": [1] * 4 + [2] * 3, f"a⁧{h}⁩b": [0, 0, 1, 1, 1, 0, 0], f"a ({h}) b": [0] * 3 + [1] * 3 + [0] * 3, f"123 {h}": [2] * 3 + [1] * 4, "": []}
