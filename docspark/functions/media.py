@@ -28,12 +28,13 @@ def lum_adjusted(rgb: Column, mod: Column, off: Column) -> Column:
         return _let(F.struct(span.alias("span"), saturation.alias("sat"), new.alias("new")), lambda m: coloured(c, m))
 
     def coloured(c: Column, m: Column) -> Column:
-        upper = F.when(m["new"] < 0.5, m["new"] * (1 + m["sat"])).otherwise(m["new"] + m["sat"] - m["new"] * m["sat"])
-        return _let(upper, lambda u: sum((channel(c, m, u, k) * by for k, by in (("g", 256), ("b", 1))), channel(c, m, u, "r") * 65_536))
+        # half of what the channels are apart; twice it is exact, so that a channel is one
+        # division away from its colour and halves are rounded as its SQL rounds them
+        half = F.when(m["new"] < 0.5, m["new"] * m["sat"]).otherwise(m["sat"] * (1 - m["new"]))
+        return _let(half, lambda h: sum((channel(c, m, h, k) * by for k, by in (("g", 256), ("b", 1))), channel(c, m, h, "r") * 65_536))
 
-    def channel(c: Column, m: Column, upper: Column, k: str) -> Column:
-        lower = 2 * m["new"] - upper
-        return F.floor(F.when(m["span"] < 1e-9, m["new"]).otherwise(lower + (upper - lower) * (c[k] - c["low"]) / F.nullif(m["span"], F.lit(0.0))) * 255 + 0.5).cast("int")
+    def channel(c: Column, m: Column, half: Column, k: str) -> Column:
+        return F.floor(F.when(m["span"] < 1e-9, m["new"]).otherwise(m["new"] - half + 2 * half * (c[k] - c["low"]) / F.nullif(m["span"], F.lit(0.0))) * 255 + 0.5).cast("int")
 
     return _let(F.struct(r.alias("r"), g.alias("g"), b.alias("b")), extremes)
 

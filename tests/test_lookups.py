@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.functions import bidi, codec, values
+from docspark.functions import bidi, codec, media, values
 from docspark.operators import breaking, edits, lookups
+from docspark.plans import office_queries
 
 
 def rows(df, *order):
@@ -168,6 +169,18 @@ def test_looser_fits_of_many_paragraphs(monkeypatch):
     assert len(breaking.fit_lines(plain, 400, [len(b[0]) + 1 for b in breaking.fit_many(plain, 400)])) == len(plain) > 60
 
 
+def test_halves_of_a_colour_are_rounded_as_by_sql(spark, tmp_path):
+    from compare import oracle, rows_of
+
+    rng = random.Random(12)
+    keys = [66_059, 66_067, 68_107, 68_195, *rng.sample(range(1 << 24), 5000)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    sql = office_queries.ORACLE["theme_colours"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet/*.parquet')")
+    assert rows_of(office_queries.theme_colours(spark, str(tmp_path))) == oracle(sql)
+    grey = spark.createDataFrame([(0x808080,), (0xFF0000,), (0x102030,)], "c int")
+    assert [tuple(r) for r in grey.select(media.lum_adjusted(F.col("c"), F.lit(50_000), F.lit(0)), media.lum_adjusted(F.col("c"), F.lit(60_000), F.lit(40_000))).collect()] == [(0x404040, 0xB3B3B3), (0x800000, 0xFF6666), (0x081018, 0x3D79B6)]
+
+
 def test_levels_of_mixed_text():
     h = "אבג"
     want = {f"abc {h} 123": [0] * 4 + [1] * 4 + [2] * 3, f"{h} abc": [1] * 4 + [2] * 3, f"a⁧{h}⁩b": [0, 0, 1, 1, 1, 0, 0], f"a ({h}) b": [0] * 3 + [1] * 3 + [0] * 3, f"123 {h}": [2] * 3 + [1] * 4, "": []}
