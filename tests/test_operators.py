@@ -96,6 +96,17 @@ def test_runs_are_cut_by_one_join(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_numbers_past_four_letters(spark):
+    want = {475_254: "zzzz", 475_255: "aaaaa", 12_356_630: "zzzzz", 12_356_631: "aaaaaa", 2_147_483_647: "fxshrxw"}
+    got = spark.createDataFrame([(v,) for v in want], "v int").select("v", numbers.format_number(F.col("v"), "loweralpha")).collect()
+    assert dict(map(tuple, got)) == want
+
+
+def test_entities_need_no_semicolon():
+    rows = html.parse("<h1>a&amp;&amp</h1><p>&copy x &nosuch &#65 &amp")
+    assert [r["text"] for r in rows] == ["a&&", "© x &nosuch A &"]
+
+
 def test_restart_rules(spark):
     items = spark.createDataFrame([("a", i, lv) for i, lv in enumerate([0, 1, 0, 1, 1])], "flow string, seq int, level int")
     never = numbering.folded_counters(items, ["flow"], ["seq"], "level", [(1, 0), (1, -1)]).orderBy("seq").collect()
